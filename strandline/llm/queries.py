@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
-from . import mixing, near_dedup, quality
+from . import line_dedup, mixing, near_dedup, quality, token_count, toxicity
 from .common import LOWER, UPPER, table
 
 
@@ -15,14 +15,27 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n_words=4)
 
@@ -39,6 +52,12 @@ n AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + m
 i AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hit GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)"""
+_OP5 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS MATERIALIZED (SELECT r, doc_id, i, l[i] AS line, translate(trim(l[i], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '{UPPER}', '{LOWER}') AS k FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d) x),
+f AS (SELECT k, min(doc_id) AS first FROM e WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+g AS (SELECT r, e.doc_id, i, line, coalesce(e.doc_id <> first, false) AS gone FROM e LEFT JOIN f ON e.k = f.k)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM g GROUP BY r, doc_id"""
 _OP10 = rf"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 3), ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(1, CAST(len(w) AS BIGINT) - 3) + 1)) AS p FROM d WHERE len(w) > 0) x),
@@ -48,5 +67,5 @@ l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc
 reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.m AS component_id, d.doc_id = c.m AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = d.doc_id"""
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_quality_rules, op6_source_mix, op10_near_duplicates)}
-ORACLES = {"op1_decontaminate": _OP1, "op4_quality_rules": quality.oracle_sql(), "op6_source_mix": mixing.oracle_sql(), "op10_near_duplicates": _OP10}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_source_mix, op7_toxicity, op10_near_duplicates)}
+ORACLES = {"op1_decontaminate": _OP1, "op4_quality_rules": quality.oracle_sql(), "op5_line_dedup": _OP5, "op6_source_mix": mixing.oracle_sql(), "op10_near_duplicates": _OP10}
