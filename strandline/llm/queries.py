@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
-from . import line_dedup, mixing, near_dedup, quality, token_count, toxicity
+from . import html_text, line_dedup, mixing, near_dedup, packing, quality, token_count, toxicity, warc
 from .common import LOWER, UPPER, table
 
 
@@ -15,6 +15,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.captures_of_pages(table(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return out.withColumn("headers", F.when(F.col("headers").isNotNull(), F.array_join(lines, "\n")))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n_words=4)
 
@@ -67,5 +81,5 @@ l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc
 reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.m AS component_id, d.doc_id = c.m AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = d.doc_id"""
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_source_mix, op7_toxicity, op10_near_duplicates)}
-ORACLES = {"op1_decontaminate": _OP1, "op4_quality_rules": quality.oracle_sql(), "op5_line_dedup": _OP5, "op6_source_mix": mixing.oracle_sql(), "op10_near_duplicates": _OP10}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_source_mix, op7_toxicity, op8_warc_revisits, op9_html_extraction, op10_near_duplicates)}
+ORACLES = {"op1_decontaminate": _OP1, "op4_quality_rules": quality.oracle_sql(), "op5_line_dedup": _OP5, "op6_source_mix": mixing.oracle_sql(), "op8_warc_revisits": warc.oracle_sql(), "op10_near_duplicates": _OP10}
