@@ -70,9 +70,10 @@ class Store:
         self.spark, self.paths = spark, {}
         self.root = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """Writes df in a few files for each core, or in one if it is `small`: a row for each group of a grouping."""
         path = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
+        df.coalesce(1 if small else 4 * self.spark.sparkContext.defaultParallelism).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out

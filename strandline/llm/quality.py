@@ -172,14 +172,14 @@ def judged(own: DataFrame, store: Store) -> DataFrame:
     """The statistics of rows (doc_id, text, lang, source) and `kept`; the text isn't carried."""
     spark = own.sparkSession
     stats = store.put(statistics(own).drop("text"), "statistics")
-    groups = store.put(spark.sql(GROUPS, f=stats), "groups")
-    rows = store.put(spark.sql(ROWS, f=stats, s=groups), "rows")
+    groups = store.put(spark.sql(GROUPS, f=stats), "groups", small=True)
+    rows = spark.sql(ROWS, f=stats, s=groups)
     medians = spark.sql(MEDIANS, f=rows)
-    estimate = store.put(spark.sql(START, f=rows, s=medians), "estimate")
+    estimate = store.put(spark.sql(START, f=rows, s=medians), "estimate", small=True)
     for _ in range(STEPS):
         far = spark.sql(DISTANCES, f=rows, s=estimate)
         moments = spark.sql(MOMENTS, f=far, s=spark.sql(NEAREST, f=far))
-        estimate = store.put(spark.sql(ESTIMATE, f=moments), "estimate")
+        estimate = store.put(spark.sql(ESTIMATE, f=moments), "estimate", small=True)
     return spark.sql(kept_sql("j2.*").replace("j2.*", "*"), f=stats, g=groups, s=estimate)
 
 
