@@ -73,13 +73,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = store.put(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.expr(f"regexp_count({text_col}, '[^{SPACE[1:-2]}]+')".replace("\\", "\\\\")).alias("_n"), F.conv(F.substring(F.md5(F.concat_ws("/", F.col(id_col).cast("string"), text)), 1, 15), 16, 10).cast("long").alias("h"))
                       .select("doc_id", "source", F.coalesce("_n", F.lit(0)).cast("long").alias("size"), "h"), "sizes")
-    targets = store.put(source_targets(sized), "targets")
+    targets = store.put(source_targets(sized), "targets", small=True)
     total = int(targets.agg(F.max("_all")).first()[0] or 0)
     block = block or block_size(total)
     rows = sized.withColumn("bucket", F.shiftright("h", 50) % BUCKETS)
     placed = split_running_sum(rows, ["source"], "bucket", ["h", "doc_id"], "size", "start").drop("bucket")
     info = targets.select(F.col("source").alias("_s"), "s_key", "source_size", "target")
-    placed = store.put(placed.join(info, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "placed")
+    placed = placed.join(info, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     begin = F.col("pass") * F.col("source_size") + F.col("start")
     laid = placed.where("size > 0").select("s_key", "start", "size", "source_size", F.explode(F.array(*map(F.lit, range(MAX_PASSES)))).alias("pass")).withColumn("begin", begin)
     cut = laid.withColumn("turn", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
