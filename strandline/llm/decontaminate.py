@@ -33,7 +33,7 @@ def item_windows(items: DataFrame, window: int, token_words: int, id_col: str, t
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, token_words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, item_ids) for every row of docs.
+    """(doc_id, n_words, n_hit, n_items, item_ids, text_hash) for every row of docs.
 
     An item window is `window` consecutive words of an item (all of a shorter one). Method: the set of a window holds its
     shingles of `token_words` words, ordered by rarity in the documents. Containment must be whole, so the necessary
@@ -65,7 +65,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, token_wor
         found = hit if found is None else found.union(hit)
     counts = docs.select(*key, let(_words(F.col(text_col)), F.size).cast("long").alias("n_words"), F.col(id_col))
     if found is None:
-        return counts.select(id_col, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"))
+        return counts.select(id_col, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"), F.col("_h").alias("text_hash"))
     found = store.put(found, "found")
     rarity = found.groupBy("token", "token_n").agg(F.count("*").alias("rarity"))
     # A window one of whose tokens occurs nowhere has no count for it, and can't occur.
@@ -88,4 +88,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, token_wor
     per = per.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), fold["n"].cast("long").alias("n_hit"), "item_ids")
     out = counts.join(per, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select(id_col, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
+    return out.select(id_col, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.col("_h").alias("text_hash"))
+
+
+def decontaminate_documents(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of docs, with all their columns, in which no item window occurs."""
+    hit = decontaminate(docs, items, window).where("n_hit > 0").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_t")).distinct()
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(hit, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t")), "left_anti").select("_row.*")

@@ -103,14 +103,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mix_documents(docs: DataFrame, store: Store | None = None) -> DataFrame:
     """docs with each row once, twice or not at all: as often as the mix takes it whole, halves rounded up. Columns stay as they are."""
-    keyed = docs.withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))), 1, 15), 16, 10).cast("long"))
+    h = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))), 1, 15), 16, 10).cast("long")
+    keyed = docs.select("doc_id", "source", h.alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     times = F.floor((2 * F.col("taken") + F.col("size")) / F.greatest(F.lit(1), 2 * F.col("size")))
     # Rows with the same id, text and source are alike: what each takes is evened out, so that the join keeps their number.
     per = mix(docs, store=store).groupBy(F.col("doc_id").alias("_i"), F.col("h").alias("_g"), F.col("source").alias("_s")).agg(F.avg("taken").alias("taken"), F.max("size").alias("size"))
     per = per.where("size > 0").select("_i", "_g", "_s", times.cast("int").alias("_n")).where("_n > 0")
     same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")) & F.col("source").eqNullSafe(F.col("_s"))
-    out = keyed.join(per, same).withColumn("_r", F.explode(F.sequence(F.lit(1), "_n")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(per, same).select("_row", F.explode(F.sequence(F.lit(1), "_n"))).select("_row.*")
 
 
 def oracle_sql() -> str:

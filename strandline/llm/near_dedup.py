@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Store, lower_ascii, shingles, words
 from .components import components
@@ -128,3 +129,15 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8,
     out = ids.join(final, F.col("id") == F.col("node"), "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def dedup_documents(docs: DataFrame, n_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, of one document of each component: that of the least id. Of rows that repeat an id one stays, the one of the greatest text."""
+    packed = docs.select(F.col("doc_id").alias("_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = near_duplicates(docs, n_words, similarity).where("kept and doc_id is not null").select(F.col("doc_id").alias("_k")).distinct()
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    out = packed.join(kept, F.col("_id") == F.col("_k"), "left_semi")
+    if not repeated.isEmpty():
+        order = Window.partitionBy("_id").orderBy(F.desc_nulls_last("text"), F.xxhash64("_row"))
+        out = out.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return out.select("_row.*").union(packed.where("_id is null").select("_row.*"))

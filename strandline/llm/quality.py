@@ -168,6 +168,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return out.withColumnRenamed("doc_id", id_col)
 
 
+def quality_documents(docs: DataFrame, store: Store | None = None) -> DataFrame:
+    """The rows of docs that quality() keeps, with all their columns, whatever these are called. They are stored once with their statistics, so that no text is shuffled."""
+    own = docs.select("doc_id", "text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return judged(own, store or Store(docs.sparkSession)).where("kept").select("_row.*")
+
+
 def judged(own: DataFrame, store: Store) -> DataFrame:
     """The statistics of rows (doc_id, text, lang, source) and `kept`; the text isn't carried."""
     spark = own.sparkSession
