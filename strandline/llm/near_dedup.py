@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,45 +12,57 @@ from .common import Store, lower_ascii, shingles, words
 from .components import components
 
 
+DEVIATIONS = 4.5
+
+
 def _tokens(text):
     return words(lower_ascii(text))
 
 
-def _lists(reps: DataFrame, values, step: float) -> DataFrame:
-    """A row for each value of a document and each of the two length classes that documents similar in size share."""
-    size_class = F.floor(F.log(F.col("n").cast("double")) / step)
-    return reps.select(
-        "id", "comp", F.explode(values).alias("v"), size_class.alias("_c")
-    ).select("id", "comp", F.xxhash64("v", "_c").alias("v"), F.xxhash64("v", F.col("_c") + 1).alias("w")).select("id", "comp", F.explode(F.array("v", "w")).alias("v"))
+def _keys(values: Column) -> Column:
+    """A key for each two neighbours of an array of values."""
+    return F.transform(F.sequence(F.lit(1), F.size(values) - 1), lambda i: F.xxhash64(F.element_at(values, i), F.element_at(values, i + 1)))
+
+
+def _lists(reps: DataFrame, values: Column) -> DataFrame:
+    """A row (id, comp, v) for each two neighbouring values of a document."""
+    return reps.select("id", "comp", values.alias("_k")).where("size(_k) > 1").select("id", "comp", F.explode(_keys(F.col("_k"))).alias("v"))
 
 
 def _hub_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of each member with one member of its list, picked by a hash that differs from list to list."""
-    hubs = (
-        lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("v", "id").alias("h"), "id")).alias("hub"), F.count("*").alias("m"))
-        .where("m > 1").select(F.col("v").alias("_v"), F.col("hub.id").alias("a"))
-    )
-    return lists.join(hubs, F.col("v") == F.col("_v")).where("a <> id").select("a", F.col("id").alias("b"))
+    """Pairs of each member with the least of its list: mostly one pair a member, as lists of like documents have the same least."""
+    hubs = lists.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select(F.col("v").alias("_v"), "a")
+    return lists.join(hubs, F.col("v") == F.col("_v")).where("a <> id").select("a", F.col("id").alias("b")).distinct()
+
+
+def _rest_hub_pairs(labels: DataFrame, stats: DataFrame, turn: int) -> DataFrame:
+    """In each list of many components: pairs across components of each member with one outside the largest component."""
+    rows = labels.join(stats, F.col("v") == F.col("_v")).drop("_v")
+    hubs = rows.where("comp <> big").groupBy("v").agg(F.min(F.struct(F.xxhash64("id", "v", F.lit(turn)).alias("h"), "id", "comp")).alias("hub"))
+    hubs = hubs.select(F.col("v").alias("_v"), F.col("hub.id").alias("a"), F.col("hub.comp").alias("ca"))
+    pairs = rows.join(hubs, F.col("v") == F.col("_v")).where("comp <> ca")
+    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
 def _list_stats(lists: DataFrame) -> DataFrame:
+    """(_v, rest, big) of lists of several components: members outside the largest, and the largest."""
     per = lists.groupBy("v", "comp").agg(F.count("*").alias("c"))
-    return per.groupBy("v").agg(F.count("*").alias("n_comps"), F.max(F.struct("c", "comp")).alias("big")).where("n_comps > 1").select(F.col("v").alias("_v"), "n_comps", F.col("big.comp").alias("big"))
+    per = per.groupBy("v").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("big"))
+    return per.where("m > big.c").select(F.col("v").alias("_v"), (F.col("m") - F.col("big.c")).alias("rest"), F.col("big.comp").alias("big"))
 
 
 def _cross_pairs(lists: DataFrame, stats: DataFrame) -> DataFrame:
     """Pairs across components in lists of few components: at most so many pairs for each member as the list has components' rest."""
-    rows = lists.join(stats, F.col("v") == F.col("_v")).drop("_v")
+    rows = lists.join(stats.drop("rest"), F.col("v") == F.col("_v")).drop("_v")
     rest = rows.where("comp <> big").select(F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("v").alias("_v"), F.col("big").alias("_b"))
     pairs = rows.select(F.col("id").alias("b"), "comp", "v", "big").join(rest, F.col("v") == F.col("_v")).where("comp <> ca and (comp = big or a < b)")
-    return pairs.select("a", "b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, k: int, similarity: float) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose union sketch doesn't rule it out; `whole`: decided by the sketches."""
-    # Overlap of the k least values of the union: binomial with mean k * J; five deviations below it lose 3 in 10 million.
-    least = similarity * k - 5 * math.sqrt(k * similarity * (1 - similarity))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Overlap of the k least values of the union: binomial with mean k * J; 4.5 deviations below it lose 3 in a million.
+    least = similarity * k - DEVIATIONS * math.sqrt(k * similarity * (1 - similarity))
     side = lambda x: reps.select(F.col("id").alias(f"_{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     rows = pairs.join(side("b"), F.col("b") == F.col("_b")).join(side("a"), F.col("a") == F.col("_a"))
     rows = rows.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
@@ -73,17 +85,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, n_words: int, similarity: floa
     return rows.where(100 * F.col("i") >= p * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").union(pairs.where("whole").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, k: int = 64, lists_of: int = 8, few: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, k: int = 64, lists_of: int = 21, few: int = 32, orders: int = 16, hub_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Method. A document's set holds the hashes of its n-word shingles; its sketch the k least. Documents of equal sets
-    become one class, named by its least id. The `lists_of` least values of a class, each with a length class, are its
-    inverted lists: a pair of similarity 0.8 shares none of 8 with chance 0.2^8. First each list's members are held
-    against one hub; the links that hold, confirmed on full sets, give components. Then, in lists that still have
-    several components, but `few` at most, members outside the largest component are held against all of other
-    components. Members of lists with more components (a passage that many unlike documents share) look through all k
-    values for lists with few components, so a frequent value hides no link. Pairs grow with the number of rows, never
-    with the square of a list. Nothing is capped: `few` only says by which list a pair is found.
+    become one class, named by its least id. Each two neighbours among the `lists_of` least values of a class are a key of an
+    inverted list: of a pair of similarity 0.8, four in five values of the union are common, and the chance that among 21 no
+    two neighbours are is 1 in a million; unlike documents that share a passage rarely share neighbours. First each list's
+    members are held against one hub; the links that hold, confirmed on full sets, give components. In lists that have over
+    `few` members outside their largest component even so, `hub_rounds` times a hub of these is held against all. Then, in the
+    other lists of several components, members outside the largest one are held against all of other components. Members of
+    lists with more of them (a passage that many unlike documents share) get other lists, by the least values of their sketch
+    in `orders` other orders, treated alike, so a frequent value hides no link. Pairs grow with the number of rows, never
+    with the square of a list, and no document or list is left out: `few` only says how a list is searched.
 
     Null or blank texts have no shingles and stand alone. Rows of one doc_id are one document listed more than once: they
     share a component; rows of a null doc_id each stand alone, with a null component, and are kept. Extra columns are
@@ -91,42 +105,54 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8,
     """
     spark = docs.sparkSession
     store = Store(spark)
-    step = math.log(1 / similarity) * 1.000001
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = base.select("id", shingles(_tokens(F.col("text")), n_words).alias("s"))
     rows = store.put(sets.select("id", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("h"), F.hash("s").alias("h2"), F.slice("s", 1, k).alias("sketch")), "sketches")
-    classes = rows.where("n > 0 and id is not null").groupBy("n", "h", "h2").agg(F.min("id").alias("rep"))
-    member = store.put(rows.where("n > 0 and id is not null").select("id", "n", "h", "h2").join(classes, ["n", "h", "h2"]).select("id", "rep"), "classes")
-    # One doc_id with several texts: its sets are one document's, so their classes are linked.
-    reps = store.put(
-        rows.where("n > 0 and id is not null").join(member.where("id = rep").select(F.col("rep").alias("_r")).distinct(), F.col("id") == F.col("_r"), "left_semi")
-        .dropDuplicates(["id"]).select("id", "n", "sketch", F.col("id").alias("comp")), "reps",
-    )
+    real = rows.where("n > 0 and id is not null")
+    classes = real.groupBy("n", "h", "h2").agg(F.min("id").alias("rep"))
+    ids = store.put(rows.select("id", "n", "h", "h2").join(classes, ["n", "h", "h2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "classes")
+    own = ids.where("id = rep").select("rep", F.col("n").alias("_n")).groupBy("rep").agg(F.max("_n").alias("_n"))
+    # Only documents that share a listed value with another go on.
     first = F.slice("sketch", 1, lists_of)
-    texts = base.where("id is not null")
+    listed = real.select("id", "n", "sketch", F.col("id").alias("comp")).join(own, (F.col("id") == F.col("rep")) & (F.col("n") == F.col("_n"))).drop("rep", "_n")
+    lists = store.put(_lists(listed, first).select("id", "v"), "lists")
+    shared = lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select(F.col("v").alias("_v"))
+    near_by = store.put(lists.join(shared, F.col("v") == F.col("_v"), "left_semi"), "lists")
+    store.drop(lists)
+    some = near_by.select(F.col("id").alias("_i")).distinct()
+    reps = store.put(listed.join(some, F.col("id") == F.col("_i"), "left_semi").dropDuplicates(["id"]).drop("comp"), "reps")
+    store.drop(rows)
+    # The one time that all texts are moved; of any size, and so that it costs alike at every size.
+    texts = store.put(base.join(some.hint("merge"), F.col("id") == F.col("_i"), "left_semi"), "texts")
 
     def confirm(pairs, name):
         found = store.put(_estimated(pairs, reps, k, similarity), name)
-        needed = found.where("not whole").select(F.explode(F.array("a", "b")).alias("_n")).distinct()
-        some = texts.join(needed, F.col("id") == F.col("_n"), "left_semi").dropDuplicates(["id"])
-        links = store.put(_verified(found, some, n_words, similarity), f"{name}-links")
+        links = store.put(_verified(found, texts, n_words, similarity), f"{name}-links")
         store.drop(found)
         return links
 
-    star = confirm(_hub_pairs(_lists(reps, first, step)), "hubs")
-    comps = components(star, store)
-    labelled = store.put(reps.drop("comp").join(comps, F.col("id") == F.col("node"), "left").select("id", "n", "sketch", F.coalesce("component", "id").alias("comp")), "labelled")
-    lists = _lists(labelled, first, step)
-    stats = store.put(_list_stats(lists), "lists")
-    near = _cross_pairs(lists, stats.where(F.col("n_comps") <= few))
-    wide = lists.join(stats.where(F.col("n_comps") > few).select("_v"), F.col("v") == F.col("_v"), "left_semi").select(F.col("id").alias("_i")).distinct()
-    more = store.put(_lists(labelled.join(wide, F.col("id") == F.col("_i"), "left_semi"), F.col("sketch"), step), "wide")
-    far = _cross_pairs(more, _list_stats(more).where(F.col("n_comps") <= few))
-    links = confirm(near.union(far), "cross")
-    same_id = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    final = components(star.union(links).union(same_id), store)
-    ids = rows.select("id", F.col("n").alias("n_shingles"))
-    out = ids.join(final, F.col("id") == F.col("node"), "left")
+    def labelled(links):
+        comps = components(links, store)
+        labels = store.put(near_by.join(comps, F.col("id") == F.col("node"), "left").select("id", "v", F.coalesce("component", "id").alias("comp")), "labels")
+        return labels, store.put(_list_stats(labels), "stats")
+
+    found = confirm(_hub_pairs(near_by), "hubs")
+    labels, stats = labelled(found)
+    for turn in range(hub_rounds):
+        found = found.union(confirm(_rest_hub_pairs(labels, stats.where(F.col("rest") > few), turn), f"rest{turn}"))
+        store.drop(labels, stats)
+        labels, stats = labelled(found)
+    near = _cross_pairs(labels, stats.where(F.col("rest") <= few))
+    wide = labels.join(stats.where(F.col("rest") > few).select("_v"), F.col("v") == F.col("_v"), "left_semi").groupBy(F.col("id").alias("_i")).agg(F.first("comp").alias("comp"))
+    # The least value under each of several other orders of the sketch: alike sketches agree on most, unlike ones on few.
+    others = F.array(*[F.array_min(F.transform("sketch", lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(orders)])
+    more = store.put(_lists(reps.join(wide, F.col("id") == F.col("_i")), others), "wide")
+    more_stats = store.put(_list_stats(more), "stats")
+    far = _cross_pairs(more, more_stats.where(F.col("rest") <= few)).union(_rest_hub_pairs(more, more_stats.where(F.col("rest") > few), hub_rounds))
+    links = confirm(near.union(far).distinct(), "cross")
+    same_id = ids.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    final = components(found.union(links).union(same_id), store)
+    out = ids.select("id", F.col("n").alias("n_shingles")).join(final, F.col("id") == F.col("node"), "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
