@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 MATCH, MISMATCH, GAP = 2, -1, -1
 _PAIRS = bytes.maketrans(b"ACGTUacgtu", b"TGCAAtgcaa")
 
@@ -101,6 +103,7 @@ def subject_slice(seq: Column, beg: Column, end: Column, window: int, stride: in
 
 def alignments(candidates: DataFrame, reads: DataFrame, targets: DataFrame, window: int, stride: int) -> DataFrame:
     """(query_id, tgt, score, query, subject, strand) for each read's first candidate; targets: (tgt, seq)."""
+    ship(candidates.sparkSession)
     rows = candidates.where("pos = 1").join(reads.select("query_id", "seq1", "seq2"), "query_id").join(targets.select("tgt", "seq"), "tgt")
     out = rows.select("query_id", "tgt", align_udf(F.col("seq1"), F.col("seq2"), subject_slice(F.col("seq"), F.col("beg"), F.col("end"), window, stride)).alias("x"))
     return out.select("query_id", "tgt", "x.*")

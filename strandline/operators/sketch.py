@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import sketches
 from ..options import SketchOptions
+from ..shipping import ship
 
 
 def windows(seqs: DataFrame, owner: str, seq: str, options: SketchOptions) -> DataFrame:
@@ -36,6 +37,7 @@ def sketch(seqs: DataFrame, owner: str, seq: str | Column, options: SketchOption
     column = F.col(seq) if isinstance(seq, str) else seq
     kind = seqs.schema[owner].dataType.simpleString()
     o = options
+    ship(seqs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship
+
 SCHEMA = "file string, index bigint, header string, seq string, qual string"
 
 
@@ -80,6 +82,7 @@ def read_sequences(spark: SparkSession, *paths: str, recursive: bool = True) ->
     def emit(name, rows):
         return pa.record_batch([pa.array([name] * len(rows[0]), pa.string()), pa.array(rows[0], pa.int64()), *(pa.array(r, pa.string()) for r in rows[1:])], names=["file", "index", "header", "seq", "qual"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(list(paths))
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
