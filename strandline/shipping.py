@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,10 +19,11 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).parent
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder) / f"{root.name}.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for file in sorted(root.rglob("*.py")):
-                z.write(file, file.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(path))
+    folder = tempfile.mkdtemp(prefix="strandline-code-")  # on the driver only, which serves it for as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
