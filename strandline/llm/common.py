@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: White space of every contract: space and U+0009 to U+000D.
@@ -67,6 +69,7 @@ class Store:
     """Tables written to the shared folder, to cut lineage: a lost executor costs a reread, never a rerun of all steps."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark, self.paths = spark, {}
         self.root = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
 

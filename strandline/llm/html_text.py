@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A subtree is template if it is on so many pages of its host with unlike main parts, and on this share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.2
 # Fixed values of HTML.
@@ -241,6 +243,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     A null page is empty, a null url a host of its own; repeated rows stay, and get the same text. Extra columns are
     ignored. Pages are parsed whole, whatever their length; nesting is walked without recursion.
     """
+    ship(pages.sparkSession)
     own = pages.select(id_col, url_col, F.coalesce(F.col(html_col), F.lit("")).alias("_html")).withColumns({"_host": _host(F.col(url_col)), "_page": F.xxhash64("_html")})
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

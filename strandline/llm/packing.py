@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Ids and documents that are packed together, at most: what a task holds in memory, whatever the input.
 GROUP_IDS, GROUP_DOCS = 2_000_000, 4_096
 _encoders: dict[str, object] = {}
@@ -108,6 +110,8 @@ def pack(docs: DataFrame, length: int = 4096, tokenizer: str = "byte_bpe_50k.tik
     empty table gives no rows.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer)
         group: list[tuple[int | None, np.ndarray]] = []

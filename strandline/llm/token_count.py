@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 SPACE_MARK = "▁"
 #: Words whose counts a Python worker keeps; beyond it, it starts anew from the proved ones.
 MEMO = 400_000
@@ -113,6 +115,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
     Null and empty texts have 0 bytes and tokens. Null ids and repeated rows stay. Texts of any length are read whole; memory
     is one Arrow batch and the memo. Extra columns are ignored.
     """
+    ship(docs.sparkSession)
     schema = docs.select(F.col(id_col)).schema.simpleString()[7:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship
+
 #: Headers that a 304 response may update. Fixed values, by the HTTP specification.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that don't name a resource: names, and one prefix.
@@ -139,6 +141,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for record in parse(data.as_py()):
                     yield pa.RecordBatch.from_pylist([record | {"headers": list((record.get("headers") or {}).items())}], schema=schema)
 
+    ship(spark)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RECORD)
 
 
