@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,8 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from .common import Store
+
 #: Labelled rows that a fit takes at most, by a hash of their id, and entries that a lexicon has at most.
-SAMPLE, ENTRIES = 200_000, 5_000
+SAMPLE, ENTRIES = 40_000, 5_000
+#: Entries of the documents of label 1 that are counted in the others, most frequent first.
+CANDIDATES = 200_000
 #: A stem is a word's first letters, so many.
 STEMS = range(4, 9)
 #: Least documents of an entry, and least log-odds of label 1 that it must give.
@@ -58,43 +65,66 @@ def _features(text: str) -> set[str]:
 def training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """(text, y) of labelled rows with crc32(doc_id) mod 5 not 0; of more than `sample`, those least by a hash of the id."""
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0)).groupBy(F.col(id_col).alias("_y")).agg(F.max(label_col).alias("y"))
-    y = y.orderBy(F.xxhash64("_y"), "_y").limit(sample)
+    y = F.broadcast(y.orderBy(F.xxhash64("_y"), "_y").limit(sample))  # at most `sample` rows
     return docs.join(y, F.col(id_col) == F.col("_y")).select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("y").cast("int"))
 
 
-def learn(rows: DataFrame) -> dict:
+def learn(rows: DataFrame, store: Store | None = None) -> dict:
     """A lexicon {entry: weight}, exception phrases, and a calibration, from rows (text, y).
 
-    Documents with an entry are counted by label in Spark, pre-aggregated; the driver gets at most ENTRIES entries that pass
-    SUPPORT and LEAST. Longer stems and words go if a stem of theirs is as good. An exception is a phrase of an entry's word
+    Documents with an entry are counted in Spark, pre-aggregated: in those of label 1 first, then, for the CANDIDATES most
+    frequent of SUPPORT documents at least, in the others. The ENTRIES most frequent that give LEAST log-odds go on. Longer stems and words go if a stem of theirs is as good, and so do words of texts that are only copied. An exception is a phrase of an entry's word
     and the next that label 0 has at least SUPPORT times and label 1 never: it cancels the entry there. The calibration is a
     logistic regression on the weights' sum and its ratio to length. Without rows of both labels, every score is the share
     of label 1, or 0.
     """
-    n0, n1 = (rows.where(F.col("y") == v).count() for v in (0, 1))
+    store = store or Store(rows.sparkSession)
+    rows = store.put(rows, "training")
+    by = {r["y"]: r["count"] for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).count().collect()}
+    n0, n1 = by.get(0, 0), by.get(1, 0)
     prior = (n1 + 0.5) / (n0 + n1 + 1) if n0 + n1 else 0.0
     empty = {"entries": {}, "exceptions": [], "beta": [math.log(prior / (1 - prior)) if prior else -20.0, 0.0, 0.0]}
     if not n0 or not n1:
         return empty
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(texts: DataFrame, only: frozenset[str] | None, name: str) -> DataFrame:
+        """Documents with each feature, or with each of some."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got: Counter[str] = Counter()
+                for t in batch.column(0).to_pylist():
+                    got.update(_features(t) if only is None else _features(t) & only)
+                yield pa.record_batch([pa.array(got.keys(), pa.string()), pa.array(got.values(), pa.int64())], names=["f", name])
+
+        return texts.select("text").mapInArrow(count, f"f string, {name} bigint").groupBy("f").agg(F.sum(name).alias(name))
+
+    toxic = counted(rows.where("y > 0"), None, "c1").where(F.col("c1") >= SUPPORT).orderBy(F.desc("c1"), "f").limit(CANDIDATES).collect()
+    c1 = {r["f"]: r["c1"] for r in toxic}
+    c0 = {r["f"]: r["c0"] for r in counted(rows.where("y <= 0"), frozenset(c1), "c0").collect()}
+    weight = {f: math.log((n + 0.5) / (n1 + 1)) - math.log((c0.get(f, 0) + 0.5) / (n0 + 1)) for f, n in c1.items()}
+    top = sorted((f for f in c1 if weight[f] >= LEAST), key=lambda f: (-c1[f], f))[:ENTRIES]
+    # Words of a toxic text that is often copied are as frequent as what makes it toxic. So texts are told apart by one of
+    # their long words, the same in copies: an entry needs SUPPORT such texts, and no fewer than half of its documents.
+    chosen = frozenset(top)
+
+    def which(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got: dict[str, list[int]] = {}
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for f in _features(t):
-                    got.setdefault(f, [0, 0])[y > 0] += 1
-            yield pa.record_batch([pa.array(got.keys(), pa.string()), pa.array([c[0] for c in got.values()], pa.int64()), pa.array([c[1] for c in got.values()], pa.int64())], names=["f", "c0", "c1"])
-
-    counted = rows.mapInArrow(explode, "f string, c0 bigint, c1 bigint").groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
-    top = counted.where(F.col("c1") >= SUPPORT).withColumn("w", odds).where(F.col("w") >= LEAST).orderBy(F.desc("c1"), "f").limit(ENTRIES).collect()
+            got = [_features(t) for t in batch.column(0).to_pylist()]
+            mark = [min((zlib.crc32(f.encode()) for f in g if len(f) > 8 and f[-1] == " "), default=len(t)) for g, t in zip(got, batch.column(0).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array([sorted(g & chosen) for g in got], pa.list_(pa.string())), pa.array(mark, pa.int64())], names=["f", "mark"])
+
+    unlike: dict[str, set[int]] = {}
+    for r in rows.where("y > 0").select("text").mapInArrow(which, "f array<string>, mark bigint").collect():  # at most SAMPLE
+        for f in r["f"]:
+            unlike.setdefault(f, set()).add(r["mark"])
     entries: dict[str, float] = {}
-    counts: dict[str, int] = {}
-    for r in sorted(top, key=lambda r: (len(r["f"]), r["f"])):
-        shorter = [r["f"][:n] for n in STEMS if r["f"][:n] in entries]
+    for f in sorted(top, key=lambda f: (len(f), f)):
+        shorter = [f[:n] for n in STEMS if f[:n] in entries]
         # A longer entry says more only if it is surer by far than the stems of it that are in.
-        if not shorter or r["w"] > max(entries[s] for s in shorter) + 2 and r["c1"] > 0.5 * max(counts[s] for s in shorter):
-            entries[r["f"]], counts[r["f"]] = r["w"], r["c1"]
+        better = not shorter or (weight[f] > max(entries[s] for s in shorter) + 2 and c1[f] > 0.5 * max(c1[s] for s in shorter))
+        if better and len(unlike.get(f, ())) >= max(SUPPORT, 0.5 * c1[f]):
+            entries[f] = weight[f]
     model = {"entries": entries, "exceptions": [], "beta": empty["beta"]}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +135,7 @@ def learn(rows: DataFrame) -> dict:
             yield pa.record_batch([pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()), pa.array(phrases, pa.list_(pa.string()))], names=["s", "n", "y", "p"])
 
     measured = rows.mapInArrow(scored, "s double, n bigint, y int, p array<string>")
+    measured = store.put(measured, "measured")
     by_phrase = measured.select("y", F.explode("p").alias("p")).groupBy("p").agg(F.sum(1 - F.col("y")).alias("c0"), F.sum("y").alias("c1")).where(f"c0 >= {SUPPORT} and c1 = 0")
     model["exceptions"] = sorted(r["p"] for r in by_phrase.orderBy(F.desc("c0"), "p").limit(ENTRIES).collect())
     data = np.array([(r["s"], r["n"], r["y"]) for r in measured.select("s", "n", "y").collect()], float)
@@ -185,6 +216,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """(doc_id, score, predicted) for every row of docs, by text alone, with no shuffle. Null is an empty text; extra columns are ignored."""
     import json
 
+    ship(docs.sparkSession)
     key = json.dumps(model)
     schema = docs.select(F.col(id_col)).schema.simpleString()[7:-1]
 
