@@ -16,7 +16,8 @@ def classify(candidates: DataFrame, lineages: DataFrame, options: ClassifyOption
 
     The first candidate must have hits_min hits. Candidates after it join the vote while their hits are above
     hits_diff times the first's hits over hits_min; the vote's taxon goes up the first one's lineage, and is void above the
-    highest rank. by: `tgt`, lineages by target, or `tax`, by taxon. The lowest taxon of a lineage is the candidate itself.
+    highest rank. by: `tgt`, lineages by target, or `tax`, by taxon. A candidate is the lowest taxon of its lineage that is not
+    below the lowest rank.
     """
     rows = candidates.join(lineages.select(by, "lineage"), by, "left")
     per = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "hits", "lineage"))).alias("c"))  # max_candidates bounds it
@@ -25,7 +26,7 @@ def classify(candidates: DataFrame, lineages: DataFrame, options: ClassifyOption
     # Single precision, as thresholds are elsewhere.
     over = F.when(top["hits"] > least, (top["hits"] - least).cast("float") * F.lit(options.hits_diff).cast("float")).otherwise(F.lit(0).cast("float"))
     ranks = F.sequence(F.lit(0), F.lit(NONE - 1))
-    first = lambda line: F.coalesce(F.get(F.filter(ranks, lambda r: F.get(line, r).isNotNull()), F.lit(0)), F.lit(NONE))
+    first = lambda line: F.coalesce(F.get(F.filter(ranks, lambda r: (r >= options.lowest) & F.get(line, r).isNotNull()), F.lit(0)), F.lit(NONE))
     state = lambda rank, going: F.struct(rank.cast("int").alias("rank"), going.alias("going"))
 
     def vote(a: Column, c: Column) -> Column:

@@ -32,6 +32,12 @@ def kmers(seqs: DataFrame, owner: str, seq: str, k: int) -> DataFrame:
     return rows.select("owner", (F.col("at") - 1).cast("bigint").alias("at"), F.expr(f"substring(s, at, {k})").alias("kmer")).where(~F.col("kmer").rlike("[^ACGTU]"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, where the files give fewer partitions than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sketch(seqs: DataFrame, owner: str, seq: str | Column, options: SketchOptions) -> DataFrame:
     """(owner, win, feature) rows of every sequence; null and short ones give none. Features above 2**63 wrap to negatives."""
     column = F.col(seq) if isinstance(seq, str) else seq
@@ -59,7 +65,7 @@ def sketch(seqs: DataFrame, owner: str, seq: str | Column, options: SketchOption
     def emit(batch, index, wins, features):
         return pa.record_batch([batch.column(0).take(pa.array(np.concatenate(index))), pa.array(np.concatenate(wins)), pa.array(np.concatenate(features))], names=["owner", "win", "feature"])
 
-    return seqs.select(owner, column.alias("_seq")).mapInArrow(run, f"owner {kind}, win bigint, feature bigint")
+    return spread(seqs.select(owner, column.alias("_seq"))).mapInArrow(run, f"owner {kind}, win bigint, feature bigint")
 
 
 def sketch_pairs(reads: DataFrame, options: SketchOptions) -> DataFrame:
