@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..stored import stored
 from .taxonomy import lowest_ancestor_from
 
 
@@ -27,6 +28,7 @@ def estimate(counts: DataFrame, lineages: DataFrame, taxa: DataFrame, rank: int)
         up = lowest_ancestor_from(F.col("lineage"), rank)
         rows = rows.withColumn("tax", F.when(F.col("rank") < rank, F.coalesce(up, "tax")).otherwise(F.col("tax")))
     merged = rows.groupBy("tax").agg(F.sum("n").alias("n")).join(info, F.col("tax") == F.col("id")).select("tax", "n", "rank", "lineage")
+    merged = stored(merged, "counts")  # a row for each counted taxon; used four times
     above = merged.select("tax", F.col("n").alias("m"), F.posexplode("lineage").alias("r", "anc"), F.col("rank").alias("own")).where("anc is not null and r > own")
     above = above.join(merged.select(F.col("tax").alias("anc"), "n"), "anc")
     below = above.groupBy("anc").agg(F.sum("m").alias("w"))

@@ -31,8 +31,9 @@ def rank_statistics(ranks: DataFrame) -> DataFrame:
     """
     per = ranks.groupBy("assigned", "known", "correct").agg(F.count("*").alias("n"))  # at most 22**3 rows
     wrong = (F.col("known") != NONE) & (F.col("correct") > F.col("known")) & (F.col("correct") > F.col("assigned"))
-    one = lambda r, what, where=F.lit(True): per.where(where).select(r.alias("rank"), F.lit(what).alias("what"), "n")
-    long = one(F.col("assigned"), "assigned").union(one(F.col("known"), "known")).union(one(F.col("correct"), "correct", F.col("known") != NONE)).union(one(F.col("correct") - 1, "wrong", wrong))
+    one = lambda r, what: F.struct(r.alias("rank"), F.lit(what).alias("what"))
+    counts = [one(F.col("assigned"), "assigned"), one(F.col("known"), "known"), F.when(F.col("known") != NONE, one(F.col("correct"), "correct")), F.when(wrong, one(F.col("correct") - 1, "wrong"))]
+    long = per.select(F.explode(F.array(*counts)).alias("x"), "n").where("x is not null").select("x.rank", "x.what", "n")
     at = long.groupBy("rank").pivot("what", ["assigned", "known", "correct", "wrong"]).agg(F.sum("n"))
     every = ranks.sparkSession.range(NONE + 1).select(F.col("id").cast("int").alias("rank")).join(at, "rank", "left").na.fill(0)
     below, above = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("rank").rowsBetween(0, Window.unboundedFollowing)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranks import N_RANKS, NONE, ROOT
+from ..stored import stored
 
 
 def full_lineages(taxa: DataFrame, max_depth: int = 64) -> DataFrame:
@@ -22,8 +23,8 @@ def full_lineages(taxa: DataFrame, max_depth: int = 64) -> DataFrame:
         far = paths.where(F.col("depth") == reach).select(F.col("id").alias("_i"), F.col("ancestor").alias("_a"))
         more = far.join(paths.where("depth > 0"), F.col("_a") == F.col("id")).select(F.col("_i").alias("id"), (F.col("depth") + reach).alias("depth"), "ancestor")
         paths, reach = paths.union(more), reach * 2
-        if reach >= 4:  # the plan would double with each pass
-            paths = paths.cache()
+        if reach >= 8 and reach < max_depth:  # the plan would double with each pass
+            paths = stored(paths, "paths")
             if paths.where(F.col("depth") == reach).isEmpty():
                 break
     rank = taxa.select(F.col("id").alias("_r"), "rank")

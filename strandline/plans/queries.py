@@ -248,6 +248,30 @@ def ground_truth(spark, d):
     return classify.ground_truth(_reads(spark, d), t, t.select("id"), _lineages(spark, d)[1])
 
 
+@registered(f"""WITH {_PIPE}, {_TAX}, {_CLASSIFIED}, v AS (SELECT t.id, t.species, t.genus, coalesce(c.rank, 21) AS a FROM benchmark b JOIN tl t ON t.tgt = b.item_id LEFT JOIN clr c ON c.query_id = b.item_id),
+r AS (SELECT 0 AS rank, CASE WHEN a = 0 THEN 1 ELSE 0 END AS hit FROM v UNION ALL SELECT 4, CASE WHEN a <= 4 THEN 1 ELSE 0 END FROM v UNION ALL SELECT 6, CASE WHEN a <= 6 THEN 1 ELSE 0 END FROM v UNION ALL SELECT 20, CASE WHEN a <= 20 THEN 1 ELSE 0 END FROM v)
+SELECT CAST(rank AS INTEGER) AS rank, CAST(sum(hit) AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS tn, CAST(sum(1 - hit) AS BIGINT) AS fn FROM r GROUP BY rank""")
+def coverage_statistics(spark, d):
+    _, lines, _ = _lineages(spark, d)
+    t = _targets(spark, d).select("id", "name")
+    truth = classify.ground_truth(_reads(spark, d), t, t.select("id"), lines)
+    both = truth.join(_classified(spark, d).select("query_id", "tax"), "query_id", "left")
+    return evaluate.coverage_statistics(both, lines, taxonomy.targets_below(lines.where("id < 0")).select("tax"))
+
+
+@registered(f"""WITH {_TAX} SELECT tgt, id, 'D_' || lpad(CAST(tgt AS VARCHAR), 6, '0') AS name, species, genus, 1 AS root FROM tl""")
+def target_lineages(spark, d):
+    lines = _lineages(spark, d)[2]
+    cols = [F.get("lineage", F.lit(r)).alias(ranks.RANKS[r]) for r in (ranks.SPECIES, ranks.GENUS, ranks.ROOT)]
+    return _targets(spark, d).select("tgt", "id", "name").join(lines, "tgt").select("tgt", "id", "name", *cols)
+
+
+@registered("SELECT r.r AS rank, CAST(CASE WHEN r < 4 THEN 4 WHEN r < 6 THEN 6 WHEN r < 10 THEN 10 WHEN r < 12 THEN 12 WHEN r < 14 THEN 14 WHEN r < 16 THEN 16 WHEN r < 18 THEN 18 WHEN r < 19 THEN 19 WHEN r < 20 THEN 20 ELSE 21 END AS INTEGER) AS next_main, CAST(CASE WHEN r = 0 THEN 21 WHEN r <= 4 THEN 0 WHEN r <= 6 THEN 4 WHEN r <= 10 THEN 6 WHEN r <= 12 THEN 10 WHEN r <= 14 THEN 12 WHEN r <= 16 THEN 14 WHEN r <= 18 THEN 16 WHEN r <= 19 THEN 18 WHEN r = 20 THEN 19 ELSE 21 END AS INTEGER) AS prev_main, CAST(CASE WHEN r < 21 THEN least(r + 2, 21) ELSE 20 END AS INTEGER) AS up2, CAST(greatest(r - 2, 0) AS INTEGER) AS down2 FROM (SELECT CAST(unnest(range(22)) AS INTEGER) AS r) r")
+def rank_steps(spark, d):
+    r = F.col("rank")
+    return spark.range(22).select(F.col("id").cast("int").alias("rank")).select("rank", ranks.next_main_rank(r).alias("next_main"), ranks.prev_main_rank(r).alias("prev_main"), ranks.rank_plus(r, 2).alias("up2"), ranks.rank_minus(r, 2).alias("down2"))
+
+
 # Scalar functions.
 _HEAD = "concat('gi|', CAST(doc_id * 7 AS STRING), '| NC_', lpad(CAST(doc_id AS STRING), 6, '0'), CASE WHEN doc_id % 2 = 0 THEN '.1' ELSE '' END, ' taxid|', CAST(n_chars AS STRING), ' ', source, '/', lang, '.x.fa')"
 
