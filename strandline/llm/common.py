@@ -73,10 +73,11 @@ class Store:
         self.spark, self.paths = spark, {}
         self.root = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
-        """Writes df in a few files for each core, or in one if it is `small`: a row for each group of a grouping."""
+    def put(self, df: DataFrame, name: str, small: bool = False, rows: int | None = None) -> DataFrame:
+        """Writes df in two files for each core; or in one if it is `small`: a row for each group of a grouping; or, if it has about `rows` rows, in one for each million."""
         path = f"{self.root}/{name}-{len(self.paths)}"
-        df.coalesce(1 if small else 4 * self.spark.sparkContext.defaultParallelism).write.parquet(path)
+        files = 1 if small else 2 * self.spark.sparkContext.defaultParallelism if rows is None else 1 + rows // 1_000_000
+        df.coalesce(files).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out

@@ -85,7 +85,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n_words: int, similarity: floa
     return rows.where(100 * F.col("i") >= p * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").union(pairs.where("whole").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, k: int = 64, lists_of: int = 21, few: int = 32, orders: int = 16, hub_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, k: int = 64, lists_of: int = 21, few: int = 64, orders: int = 16, hub_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Method. A document's set holds the hashes of its n-word shingles; its sketch the k least. Documents of equal sets
