@@ -186,7 +186,7 @@ def judged(own: DataFrame, store: Store) -> DataFrame:
         far = spark.sql(DISTANCES, f=rows, s=estimate)
         moments = spark.sql(MOMENTS, f=far, s=spark.sql(NEAREST, f=far))
         estimate = store.put(spark.sql(ESTIMATE, f=moments), "estimate", small=True)
-    return spark.sql(kept_sql("j2.*").replace("j2.*", "*"), f=stats, g=groups, s=estimate)
+    return spark.sql(kept_sql("*"), f=stats, g=groups, s=estimate)
 
 
 def oracle_sql() -> str:

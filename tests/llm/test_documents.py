@@ -197,6 +197,14 @@ def test_quality_rejects_outliers_only(docs, clash):
     assert quality.quality(docs([])).count() == 0
 
 
+def test_quality_without_groups(docs):
+    """Null languages and sources are groups; too few rows for an estimate leave the base rules; equal rows have no spread."""
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join(words), None, None) for i in range(60)] + [(100 + i, " ".join(words), "en", None) for i in range(3)] + [(200, "a b", None, "s"), (201, None, None, None)]
+    got = {r["doc_id"]: r["kept"] for r in rows_of(quality.quality(docs(rows)))}
+    assert all(v == (k < 200) for k, v in got.items()) and len(got) == len(rows)
+
+
 def test_line_dedup_brute_force(docs, clash):
     rng = random.Random(6)
     pool = [text(rng, rng.randrange(1, 9), 40) for _ in range(30)] + ["", "short", "  Padded LINE here ", "padded line HERE", "ÄÖÜÄÖÜÄÖÜ", "ÄÖÜÄÖÜÄÖÜÄ"]
