@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.ranks import ALIASES, RANKS
-from .operators import abundance, candidates, index, sketch, taxonomy
+from .operators import abundance, candidates, index, taxonomy
 from .options import BuildOptions, ClassifyOptions, FormatOptions, MergeOptions, QueryOptions, SketchOptions
 from .plans import api, report
 from .sources import sequences, sinks, taxonomy_files
@@ -207,10 +207,5 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             out.show(1000, truncate=False)
 
 
-def sketch_file(spark: SparkSession, path: str, options: SketchOptions) -> DataFrame:
-    """(owner, win, feature) of the records of a file, by their index."""
-    return sketch.sketch(sequences.read_sequences(spark, path), "index", "seq", options)
-
-
 if __name__ == "__main__":
     main()

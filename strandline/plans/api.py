@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.ranks import NONE, SEQUENCE
+from ..functions.ranks import SEQUENCE
 from ..operators import abundance, candidates, classify, evaluate, index, sketch, taxonomy
 from ..options import BuildOptions, MergeOptions, QueryOptions
 from ..sources.database import Index
@@ -136,7 +136,3 @@ def merge_results(found: DataFrame, taxa: DataFrame, options: MergeOptions | Non
     best = rows.groupBy("query_id", "tax").agg(F.max("hits").alias("hits")).withColumn("tgt", F.col("tax"))
     top = candidates.top_candidates(best, c.max_candidates)
     return classify.classify(top, lines.withColumnRenamed("id", "tax"), c, by="tax")
-
-
-def unknown_rank() -> int:
-    return NONE
