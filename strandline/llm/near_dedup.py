@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,8 @@ from .components import components
 
 
 DEVIATIONS = 4.5
+#: Shingles of a block of the exact search, where a document counts as SHORT at least: so a block has 2,000 documents at most, but for chance.
+BLOCK, SHORT = 1_000_000, 500
 
 
 def _tokens(text):
@@ -85,7 +89,111 @@ def _verified(pairs: DataFrame, texts: DataFrame, n_words: int, similarity: floa
     return rows.where(100 * F.col("i") >= p * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").union(pairs.where("whole").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, k: int = 64, lists_of: int = 21, few: int = 64, orders: int = 16, hub_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _common(left: list, right: list) -> np.ndarray:
+    """The number of common values of each set of left with each of right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = [(np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x)) for x in (left, right)]
+    both = np.intersect1d(*(np.unique(v) for _, v in sides))
+    if not len(both):
+        return out
+    where, count = [], []
+    for rows, values in sides:
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        hit = both[at] == values
+        where.append((rows[hit], at[hit]))
+        count.append(np.bincount(at[hit], minlength=len(both)))
+    # Values of many pairs: products of 0/1 tables. Others: pair by pair.
+    many = count[0] * count[1] * 100 >= out.size
+    dense = np.flatnonzero(many)
+    place = np.cumsum(many) - 1
+    for start in range(0, len(dense), 4096):
+        tables = []
+        for (rows, at), n in zip(where, out.shape, strict=True):
+            use = many[at] & (place[at] >= start) & (place[at] < start + 4096)
+            table = np.zeros((n, min(4096, len(dense) - start)), np.float32)
+            table[rows[use], place[at[use]] - start] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    (rows, at), (rows_r, at_r) = ((r[~many[x]], x[~many[x]]) for r, x in where)
+    order = np.argsort(at_r, kind="stable")
+    rows_r = rows_r[order]
+    first, size = np.searchsorted(at_r[order], at), count[1][at]
+    ends = np.cumsum(size)
+    begin = 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 4_000_000, "right")))
+        n = size[begin:end]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        code = np.repeat(rows[begin:end], n) * len(right) + rows_r[np.repeat(first[begin:end], n) + step]
+        out += np.bincount(code, minlength=out.size).reshape(out.shape)
+        begin = end
+    return out
+
+
+def _forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """As few of the links (left, right) as join the same rows."""
+    sides, free = (links, np.ascontiguousarray(links.T)), (np.ones(links.shape[0], bool), np.ones(links.shape[1], bool))
+    out = []
+    for start in np.flatnonzero(links.any(axis=1)):
+        if not free[0][start]:
+            continue
+        free[0][start] = False
+        todo = [(0, start)]
+        while todo:
+            side, i = todo.pop()
+            new = np.flatnonzero(sides[side][i] & free[1 - side])
+            free[1 - side][new] = False
+            out += [(int(i), int(j)) if side == 0 else (int(j), int(i)) for j in new]
+            todo += [(1 - side, j) for j in new]
+    return out
+
+
+def _block_links(p: int):
+    """For the rows of two blocks, or of one: links of documents of unlike components whose sets have p % in common, as far as they join anything."""
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows.side == 0], rows[rows.side == 1]
+        if rows.lb.iloc[0] == rows.rb.iloc[0]:
+            right = left
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        common = _common(list(left.s), list(right.s)).astype(np.int64)
+        sizes = left.s.map(len).to_numpy()[:, None] + right.s.map(len).to_numpy()[None, :]
+        links = (100 * common >= p * (sizes - common)) & (left.comp.to_numpy()[:, None] != right.comp.to_numpy()[None, :])
+        ids, other = left.id.to_numpy(), right.id.to_numpy()
+        pairs = [(min(ids[i], other[j]), max(ids[i], other[j])) for i, j in _forest(links)]
+        return pd.DataFrame({"a": pd.Series([a for a, _ in pairs], dtype="int64"), "b": pd.Series([b for _, b in pairs], dtype="int64")})
+
+    return found
+
+
+def _exact_links(members: DataFrame, reps: DataFrame, texts: DataFrame, store: Store, n_words: int, similarity: float) -> DataFrame:
+    """Links across components of all pairs of members (id, comp, v) of each list, by full shingle sets in blocks.
+
+    Lists of the same least id are mostly the same documents and are searched as one group. A group's documents outside its
+    largest component are dealt to blocks by hash, the others to blocks of their own; each block of the first sort meets
+    itself, those after it and all of the second sort. Only the sets are copied, once for each block they meet; pairs are no rows.
+    """
+    hubs = members.groupBy("v").agg(F.min("id").alias("g")).select(F.col("v").alias("_v"), "g")
+    sizes = reps.select(F.col("id").alias("_i"), F.greatest("n", F.lit(SHORT)).alias("w"))
+    groups = members.join(hubs, F.col("v") == F.col("_v")).select("g", "id", "comp").distinct().join(sizes, F.col("id") == F.col("_i")).drop("_i")
+    groups = store.put(groups, "groups")
+    per = groups.groupBy("g", "comp").agg(F.count("*").alias("c"), F.sum("w").alias("w"))
+    per = per.groupBy(F.col("g").alias("_g")).agg(F.sum("w").alias("w_all"), F.max(F.struct("c", "comp", "w")).alias("big"))
+    blocks = lambda w: F.ceil(w / BLOCK).cast("long")
+    per = per.select("_g", F.col("big.comp").alias("big"), blocks(F.col("w_all") - F.col("big.w")).alias("nl"), blocks(F.col("big.w")).alias("nb")).where("nl > 0")
+    rows = groups.join(per, F.col("g") == F.col("_g")).withColumn("rest", F.col("comp") != F.col("big"))
+    rows = rows.withColumn("k", F.when(F.col("rest"), F.expr("pmod(xxhash64(id), nl)")).otherwise(F.expr("nl + pmod(xxhash64(id), nb)")))
+    left = rows.where("rest").select("g", "id", "comp", F.lit(0).alias("side"), F.col("k").alias("lb"), F.explode(F.expr("sequence(k, nl + nb - 1)")).alias("rb"))
+    right = rows.where("k > 0").select("g", "id", "comp", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, least(k, nl) - 1)")).alias("lb"), F.col("k").alias("rb"))
+    own = groups.select(F.col("id").alias("_i")).distinct()
+    sets = texts.join(own, F.col("id") == F.col("_i"), "left_semi").select(F.col("id").alias("_i"), shingles(_tokens(F.col("text")), n_words).alias("s"))
+    met = left.union(right).join(store.put(sets, "wide-sets"), F.col("id") == F.col("_i")).drop("_i")
+    found = met.groupBy("g", "lb", "rb").applyInPandas(_block_links(round(similarity * 100)), "a bigint, b bigint")
+    return store.put(found, "exact-links")
+
+
+def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, k: int = 64, lists_of: int = 21, few: int = 64, hub_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Method. A document's set holds the hashes of its n-word shingles; its sketch the k least. Documents of equal sets
@@ -94,10 +202,10 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8,
     two neighbours are is 1 in a million; unlike documents that share a passage rarely share neighbours. First each list's
     members are held against one hub; the links that hold, confirmed on full sets, give components. In lists that have over
     `few` members outside their largest component even so, `hub_rounds` times a hub of these is held against all. Then, in the
-    other lists of several components, members outside the largest one are held against all of other components. Members of
-    lists with more of them (a passage that many unlike documents share) get other lists, by the least values of their sketch
-    in `orders` other orders, treated alike, so a frequent value hides no link. Pairs grow with the number of rows, never
-    with the square of a list, and no document or list is left out: `few` only says how a list is searched.
+    other lists of several components, members outside the largest one are held against all of other components, and lists
+    that still have more of them (a passage that many unlike documents share, a family of borderline copies) are searched
+    whole, on full sets, in salted blocks: work that grows with the members outside the largest component times all, but
+    rows that don't. No document, list or pair of a list is left out: `few` only says how a list is searched.
 
     Null or blank texts have no shingles and stand alone. Rows of one doc_id are one document listed more than once: they
     share a component; rows of a null doc_id each stand alone, with a null component, and are kept. Extra columns are
@@ -143,13 +251,8 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8,
         store.drop(labels, stats)
         labels, stats = labelled(found)
     near = _cross_pairs(labels, stats.where(F.col("rest") <= few))
-    wide = labels.join(stats.where(F.col("rest") > few).select("_v"), F.col("v") == F.col("_v"), "left_semi").groupBy(F.col("id").alias("_i")).agg(F.first("comp").alias("comp"))
-    # The least value under each of several other orders of the sketch: alike sketches agree on most, unlike ones on few.
-    others = F.array(*[F.array_min(F.transform("sketch", lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(orders)])
-    more = store.put(_lists(reps.join(wide, F.col("id") == F.col("_i")), others), "wide")
-    more_stats = store.put(_list_stats(more), "stats")
-    far = _cross_pairs(more, more_stats.where(F.col("rest") <= few)).union(_rest_hub_pairs(more, more_stats.where(F.col("rest") > few), hub_rounds))
-    links = confirm(near.union(far).distinct(), "cross")
+    wide = labels.join(stats.where(F.col("rest") > few).select("_v"), F.col("v") == F.col("_v"), "left_semi")
+    links = confirm(near, "cross").union(_exact_links(wide, reps, texts, store, n_words, similarity))
     same_id = ids.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     final = components(found.union(links).union(same_id), store)
     out = ids.select("id", F.col("n").alias("n_shingles")).join(final, F.col("id") == F.col("node"), "left")

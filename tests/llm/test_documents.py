@@ -84,6 +84,55 @@ def test_near_duplicates_large_family(docs):
     assert all(r["kept"] for r in got if r["doc_id"] >= 1000)
 
 
+def test_near_duplicates_borderline_family(docs):
+    """Copies that only their base links, which is not the least id, and unlike documents that share most values: every pair of a list counts."""
+    rng = random.Random(5)
+    base = text(rng, 163, 10**9).split()
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(0, 160, 8), 4):
+            w[at + 4] = f"z{i}x{at}"
+        rows.append((i, " ".join(base if i == 90 else w)))
+    # Every copy has a link to the base: of 160 shingles, 144 are common.
+    family = {i: (len(set(zip(*[SPACE.findall(t)[k:] for k in range(4)]))), 0) for i, t in rows}
+    passage = text(rng, 50, 10**9)
+    rows += [(2000 + i, f"{passage} {text(rng, 22, 10**9)}") for i in range(90)]
+    rows += [(3000 + i, f"{rows[150 + i][1]} again{i}") for i in range(0, 90, 10)]
+    unlike = brute_components(rows[150:])
+    assert len({c for _, c in unlike.values()}) == 90
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(near_dedup.near_duplicates(docs(rows), 4))}
+    assert got == family | unlike
+
+
+def test_near_duplicates_block_kernel():
+    """Common values of sets, by tables and pair by pair, and a forest that joins what the links join."""
+    import numpy as np
+
+    rng = random.Random(6)
+    sets = [np.array(sorted(rng.sample(range(30), 12)) + rng.sample(range(1000, 9000), 200)) for _ in range(90)]
+    left, right = sets[:40], sets[40:]
+    common = near_dedup._common(left, right)
+    assert all(common[i, j] == len(set(a) & set(b)) for i, a in enumerate(left) for j, b in enumerate(right))
+    links = np.array([[rng.random() < 0.06 for _ in range(50)] for _ in range(40)])
+    edges = near_dedup._forest(links)
+    assert all(links[i, j] for i, j in edges)
+
+    def groups(pairs):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for i, j in pairs:
+            root[find(("l", int(i)))] = find(("r", int(j)))
+        return {frozenset(y for y in list(root) if find(y) == find(x)) for x in list(root)}
+
+    assert groups(edges) == groups(np.argwhere(links)) and len(edges) < links.sum()
+
+
 def test_near_duplicates_edges(docs, clash):
     got = rows_of(near_dedup.near_duplicates(clash(docs(EDGE)), 4))
     assert len(got) == len(EDGE)
