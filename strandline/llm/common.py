@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,57 +42,69 @@ def words(text: Column, separator: str = SPACE) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), separator), lambda w: w != "")
 
 
+def run_hashes(w: Column, n: int) -> Column:
+    """64-bit hashes of all runs of n elements of an array of word hashes, in order; the array must have n elements at least."""
+    return F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(n)]))
+
+
 def shingles(tokens: Column, n: int) -> Column:
     """Sorted distinct 64-bit hashes of n-word shingles of an array of words.
 
-    Fewer words than n, but not none, count as one shingle; none give an empty array.
+    Fewer words than n, but not none, count as one shingle; none give an empty array. Words are hashed once each, shingles
+    from their words' hashes.
     """
     def hashed(w: Column) -> Column:
-        size = F.size(w)
-        many = F.transform(
-            F.sequence(F.lit(1), size - n + 1),
-            lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(n)]),
-        )
-        one = F.array(F.xxhash64(w))
         none = F.array().cast("array<bigint>")
-        return F.array_sort(F.array_distinct(F.when(size >= n, many).when(size > 0, one).otherwise(none)))
+        return F.sort_array(F.array_distinct(F.when(F.size(w) >= n, run_hashes(w, n)).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(none)))
 
-    return let(tokens, hashed)
+    return let(F.transform(tokens, lambda w: F.xxhash64(w)), hashed)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a fresh local one only where it is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only a local session without one gets a fresh folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Store:
-    """Tables written to the shared folder, to cut lineage: a lost executor costs a reread, never a rerun of all steps."""
+    """Tables written to the shared folder, to cut lineage: a lost executor costs a reread, never a rerun of all steps.
+
+    The folder goes when the application ends; drop() deletes tables that are done with before that.
+    """
 
     def __init__(self, spark: SparkSession):
         ship(spark)
         self.spark, self.paths = spark, {}
         self.root = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
+        at = self._path(self.root)
+        fs = self._fs(at)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self, at):
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def put(self, df: DataFrame, name: str, small: bool = False, rows: int | None = None) -> DataFrame:
-        """Writes df in two files for each core; or in one if it is `small`: a row for each group of a grouping; or, if it has about `rows` rows, in one for each million."""
+    def put(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """Writes df in the partitions it is computed in; or, if it is `small`, a row for each group of a grouping, moved to one file."""
         path = f"{self.root}/{name}-{len(self.paths)}"
-        files = 1 if small else 2 * self.spark.sparkContext.defaultParallelism if rows is None else 1 + rows // 1_000_000
-        df.coalesce(files).write.parquet(path)
+        (df.repartition(1) if small else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         """Deletes tables that nothing will read again."""
-        jvm = self.spark._jvm
         for df in dfs:
-            path, _ = self.paths[id(df)]
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            at = self._path(self.paths[id(df)][0])
+            self._fs(at).delete(at, True)
 
 
 def split_running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:

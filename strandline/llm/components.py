@@ -29,9 +29,9 @@ def components(edges: DataFrame, store: Store, max_rounds: int = 60) -> DataFram
     longer change. Links with a null end are ignored. An empty table gives an empty one.
     """
     now = store.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before, size = None, now.count()
+    before = None
     for _ in range(max_rounds):
-        after = store.put(_star(_star(now, True), False), "links", rows=size)
+        after = store.put(_star(_star(now, True), False), "links")
         # A set of links is the same if it has as many and none is new.
         sign = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1000003)).first()
         store.drop(now)

@@ -6,87 +6,124 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Store, lower_ascii, shingles, words
 from .components import components
 
-
-DEVIATIONS = 4.5
+#: The chance that a bound on common values fails for a pair of just the similarity asked for.
+LOSS = 1e-6
+#: Pairs that meet one salted copy of a hub's row.
+SALTED = 512
+#: Comparisons of the exact search, for each document in lists, above which a further hub round comes first.
+WORK = 2_000
 #: Shingles of a block of the exact search, where a document counts as SHORT at least: so a block has 2,000 documents at most, but for chance.
 BLOCK, SHORT = 1_000_000, 500
 
 
-def _tokens(text):
-    return words(lower_ascii(text))
+def least_common(k: int, percent: int, loss: float = LOSS) -> int:
+    """The most values t for which this holds: of the k least of a union of which `percent` % is common, under t are common with a chance of `loss` at most.
+
+    The binomial tail, summed exactly; values are drawn without replacement, which only makes the true tail lighter.
+    """
+    p, below, t = percent / 100, 0.0, 0
+    while t <= k and (below := below + math.comb(k, t) * p**t * (1 - p) ** (k - t)) <= loss:
+        t += 1
+    return t
+
+
+def _set(text, n_words: int):
+    return shingles(words(lower_ascii(text)), n_words)
+
+
+def _shared(n, lists_of: int, percent: int):
+    """How many of their `lists_of` least values a document of n shingles and any partner have in common, at the least.
+
+    Up to lists_of shingles the values are the whole set, and the bound is certain: partners have at most n / similarity
+    shingles, of which those past lists_of are unseen. Above, it is the binomial one.
+    """
+    unseen = (100 - percent) * (100 * lists_of // percent) // 100
+    short = F.least(F.lit(lists_of - unseen), F.ceil(n * percent / 100))
+    return F.when(n <= lists_of, short).otherwise(F.lit(least_common(lists_of, percent))).cast("int")
+
+
+def candidates(classes: DataFrame, lists_of: int, percent: int) -> DataFrame:
+    """(h, rep, n, sketch, keep): classes that share values with others, and the values under which they are listed.
+
+    Two documents that are alike have t of their least values in common. So each can leave out the t - 1 values that most
+    documents have, in one order for all: the rarest common value stays in both. Values that nobody shares fall out first,
+    and the values of a passage that many unlike documents have are left out by all that have enough others.
+    """
+    values = classes.select("h", F.explode(F.slice("sketch", 1, lists_of)).alias("v"))
+    often = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1").select(F.col("v").alias("_v"), "f")
+    held = values.join(often, F.col("v") == F.col("_v")).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("x"))  # lists_of values at most
+    rows = classes.join(held.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"))
+    left = F.size("x") - _shared(F.col("n"), lists_of, percent) + 1
+    return rows.where(left > 0).select("h", "rep", "n", "sketch", F.transform(F.slice("x", 1, left), lambda e: e["v"]).alias("keep"))
 
 
-def _keys(values: Column) -> Column:
-    """A key for each two neighbours of an array of values."""
-    return F.transform(F.sequence(F.lit(1), F.size(values) - 1), lambda i: F.xxhash64(F.element_at(values, i), F.element_at(values, i + 1)))
+def _like(a: str, b: str, percent: int):
+    """Whether sizes allow the similarity."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _lists(reps: DataFrame, values: Column) -> DataFrame:
-    """A row (id, comp, v) for each two neighbouring values of a document."""
-    return reps.select("id", "comp", values.alias("_k")).where("size(_k) > 1").select("id", "comp", F.explode(_keys(F.col("_k"))).alias("v"))
+def _salted(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, s), a a hub: s salts for its row, so that no task meets all pairs of a hub."""
+    return pairs.groupBy("a", "b").agg(F.max("s").alias("s"))
 
 
-def _hub_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of each member with the least of its list: mostly one pair a member, as lists of like documents have the same least."""
-    hubs = lists.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select(F.col("v").alias("_v"), "a")
-    return lists.join(hubs, F.col("v") == F.col("_v")).where("a <> id").select("a", F.col("id").alias("b")).distinct()
+def _hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each member with the least document of its list: few a member, as lists of like documents have the same least."""
+    hubs = lists.groupBy("v").agg(F.min(F.struct("rep", "h", "n")).alias("x"), F.count("*").alias("m")).where("m > 1")
+    hubs = hubs.select(F.col("v").alias("_v"), F.col("x.h").alias("a"), F.col("x.n").alias("na"), F.ceil(F.col("m") / SALTED).alias("s"))
+    rows = lists.join(hubs, F.col("v") == F.col("_v")).where((F.col("h") != F.col("a")) & _like("n", "na", percent))
+    return _salted(rows.select("a", F.col("h").alias("b"), "s"))
 
 
-def _rest_hub_pairs(labels: DataFrame, stats: DataFrame, turn: int) -> DataFrame:
-    """In each list of many components: pairs across components of each member with one outside the largest component."""
+def _rest_hub_pairs(labels: DataFrame, stats: DataFrame, turn: int, percent: int) -> DataFrame:
+    """In each list of several components: pairs across components of each member with one outside the largest component."""
     rows = labels.join(stats, F.col("v") == F.col("_v")).drop("_v")
-    hubs = rows.where("comp <> big").groupBy("v").agg(F.min(F.struct(F.xxhash64("id", "v", F.lit(turn)).alias("h"), "id", "comp")).alias("hub"))
-    hubs = hubs.select(F.col("v").alias("_v"), F.col("hub.id").alias("a"), F.col("hub.comp").alias("ca"))
-    pairs = rows.join(hubs, F.col("v") == F.col("_v")).where("comp <> ca")
-    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    hubs = rows.where("comp <> big").groupBy("v").agg(F.min(F.struct(F.xxhash64("h", "v", F.lit(turn)).alias("_o"), "h", "n", "comp")).alias("hub"))
+    hubs = hubs.select(F.col("v").alias("_v"), F.col("hub.h").alias("a"), F.col("hub.n").alias("na"), F.col("hub.comp").alias("ca"))
+    pairs = rows.join(hubs, F.col("v") == F.col("_v")).where((F.col("comp") != F.col("ca")) & _like("n", "na", percent))
+    return _salted(pairs.select("a", F.col("h").alias("b"), F.ceil(F.col("m") / SALTED).alias("s")))
 
 
-def _list_stats(lists: DataFrame) -> DataFrame:
-    """(_v, rest, big) of lists of several components: members outside the largest, and the largest."""
-    per = lists.groupBy("v", "comp").agg(F.count("*").alias("c"))
+def _list_stats(labels: DataFrame) -> DataFrame:
+    """(_v, m, rest, big) of lists with members of several components besides their hub: members, those outside the largest, and the largest."""
+    per = labels.where("h <> hub").groupBy("v", "comp").agg(F.count("*").alias("c"))
     per = per.groupBy("v").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("big"))
-    return per.where("m > big.c").select(F.col("v").alias("_v"), (F.col("m") - F.col("big.c")).alias("rest"), F.col("big.comp").alias("big"))
-
-
-def _cross_pairs(lists: DataFrame, stats: DataFrame) -> DataFrame:
-    """Pairs across components in lists of few components: at most so many pairs for each member as the list has components' rest."""
-    rows = lists.join(stats.drop("rest"), F.col("v") == F.col("_v")).drop("_v")
-    rest = rows.where("comp <> big").select(F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("v").alias("_v"), F.col("big").alias("_b"))
-    pairs = rows.select(F.col("id").alias("b"), "comp", "v", "big").join(rest, F.col("v") == F.col("_v")).where("comp <> ca and (comp = big or a < b)")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _estimated(pairs: DataFrame, reps: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose union sketch doesn't rule it out; `whole`: decided by the sketches."""
-    # Overlap of the k least values of the union: binomial with mean k * J; 4.5 deviations below it lose 3 in a million.
-    least = similarity * k - DEVIATIONS * math.sqrt(k * similarity * (1 - similarity))
-    side = lambda x: reps.select(F.col("id").alias(f"_{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    rows = pairs.join(side("b"), F.col("b") == F.col("_b")).join(side("a"), F.col("a") == F.col("_a"))
-    rows = rows.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    both = F.array_intersect("sa", "sb")
-    rows = rows.select("a", "b", "na", "nb", F.size(F.array_intersect(both, union)).alias("hit"), F.size(union).alias("of"), F.size(both).alias("common"))
-    small = F.col("na").between(0, k) & F.col("nb").between(0, k)
-    exact = F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common")) - 1e-9
-    return rows.where(F.when(small, exact).otherwise(F.col("hit") >= F.lit(least) * F.col("of") / k)).select("a", "b", small.alias("whole"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, n_words: int, similarity: float) -> DataFrame:
-    """Links whose full shingle sets are as similar as asked; the texts of candidates only are moved."""
-    side = lambda x: texts.select(F.col("id").alias(f"_{x}"), F.col("text").alias(f"t{x}"))
-    rows = pairs.where("not whole").join(side("b"), F.col("b") == F.col("_b")).join(side("a"), F.col("a") == F.col("_a"))
-    rows = rows.select("a", "b", shingles(_tokens(F.col("ta")), n_words).alias("sa"), shingles(_tokens(F.col("tb")), n_words).alias("sb"))
-    rows = rows.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-    # Whole numbers: no link at the bound is lost to rounding.
-    p = round(similarity * 100)
-    return rows.where(100 * F.col("i") >= p * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").union(pairs.where("whole").select("a", "b"))
+    return per.where("m > big.c").select(F.col("v").alias("_v"), "m", (F.col("m") - F.col("big.c")).alias("rest"), F.col("big.comp").alias("big"))
+
+
+def _met(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """pairs (a, b, s) with the row x of each end from side (h, x): b's moves to its hub's salted copies."""
+    own = side.select(F.col("h").alias("_h"), F.col("x").alias("xb"))
+    rows = pairs.join(own, F.col("b") == F.col("_h")).select("a", "b", "s", "xb", F.expr("pmod(xxhash64(b), s)").alias("salt"))
+    hubs = pairs.select("a", "s").distinct().join(side, F.col("a") == F.col("h"))
+    hubs = hubs.select(F.col("a").alias("_a"), F.col("s").alias("_s"), F.col("x").alias("xa"), F.explode(F.expr("sequence(0L, s - 1)")).alias("_t"))
+    return rows.join(hubs, (F.col("a") == F.col("_a")) & (F.col("s") == F.col("_s")) & (F.col("salt") == F.col("_t"))).select("a", "b", "s", "xa", "xb")
+
+
+def _estimated(pairs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs that the sketch of their union doesn't rule out; `whole`: decided, as sketches are whole sets."""
+    rows = _met(pairs, found.select("h", F.struct("n", "sketch").alias("x")))
+    sa, sb, na, nb = F.col("xa.sketch"), F.col("xb.sketch"), F.col("xa.n"), F.col("xb.n")
+    both = F.array_intersect(sa, sb)
+    rows = rows.select("a", "b", "s", na.alias("na"), nb.alias("nb"), both.alias("both"), F.slice(F.sort_array(F.array_union(sa, sb)), 1, k).alias("union"))
+    small, common = F.greatest("na", "nb") <= k, F.size("both")
+    exact = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
+    likely = F.size(F.array_intersect("both", "union")) >= least_common(k, percent)
+    return rows.where(F.when(small, exact).otherwise(likely)).select("a", "b", "s", small.alias("whole"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links whose full shingle sets are as similar as asked; in whole numbers, so that none at the bound is lost to rounding."""
+    rows = _met(pairs.where("not whole"), sets.select("h", F.col("s").alias("x")))
+    common, of = F.size(F.array_intersect("xa", "xb")), F.size("xa") + F.size("xb")
+    return rows.where(100 * common >= percent * (of - common)).select("a", "b").union(pairs.where("whole").select("a", "b"))
 
 
 def _common(left: list, right: list) -> np.ndarray:
@@ -167,97 +204,92 @@ def _block_links(p: int):
     return found
 
 
-def _exact_links(members: DataFrame, reps: DataFrame, texts: DataFrame, store: Store, n_words: int, similarity: float) -> DataFrame:
-    """Links across components of all pairs of members (id, comp, v) of each list, by full shingle sets in blocks.
+def _exact_links(labels: DataFrame, stats: DataFrame, sets: DataFrame, store: Store, percent: int) -> DataFrame:
+    """Links across components of all pairs of members of each list, besides its hub, by full shingle sets in blocks.
 
-    Lists of the same least id are mostly the same documents and are searched as one group. A group's documents outside its
+    Lists of the same hub are mostly the same documents and are searched as one group. A group's documents outside its
     largest component are dealt to blocks by hash, the others to blocks of their own; each block of the first sort meets
-    itself, those after it and all of the second sort. Only the sets are copied, once for each block they meet; pairs are no rows.
+    itself, those after it and all of the second sort. Only the sets are copied, once for each block they meet; pairs are no
+    rows. A hub has been held against all its list before.
     """
-    hubs = members.groupBy("v").agg(F.min("id").alias("g")).select(F.col("v").alias("_v"), "g")
-    sizes = reps.select(F.col("id").alias("_i"), F.greatest("n", F.lit(SHORT)).alias("w"))
-    groups = members.join(hubs, F.col("v") == F.col("_v")).select("g", "id", "comp").distinct().join(sizes, F.col("id") == F.col("_i")).drop("_i")
-    groups = store.put(groups, "groups")
+    wide = labels.where("h <> hub").join(stats.select("_v"), F.col("v") == F.col("_v"), "left_semi")
+    groups = store.put(wide.select(F.col("hub").alias("g"), "h", "comp", F.greatest("n", F.lit(SHORT)).alias("w")).distinct(), "groups")
     per = groups.groupBy("g", "comp").agg(F.count("*").alias("c"), F.sum("w").alias("w"))
     per = per.groupBy(F.col("g").alias("_g")).agg(F.sum("w").alias("w_all"), F.max(F.struct("c", "comp", "w")).alias("big"))
     blocks = lambda w: F.ceil(w / BLOCK).cast("long")
     per = per.select("_g", F.col("big.comp").alias("big"), blocks(F.col("w_all") - F.col("big.w")).alias("nl"), blocks(F.col("big.w")).alias("nb")).where("nl > 0")
     rows = groups.join(per, F.col("g") == F.col("_g")).withColumn("rest", F.col("comp") != F.col("big"))
-    rows = rows.withColumn("k", F.when(F.col("rest"), F.expr("pmod(xxhash64(id), nl)")).otherwise(F.expr("nl + pmod(xxhash64(id), nb)")))
-    left = rows.where("rest").select("g", "id", "comp", F.lit(0).alias("side"), F.col("k").alias("lb"), F.explode(F.expr("sequence(k, nl + nb - 1)")).alias("rb"))
-    right = rows.where("k > 0").select("g", "id", "comp", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, least(k, nl) - 1)")).alias("lb"), F.col("k").alias("rb"))
-    own = groups.select(F.col("id").alias("_i")).distinct()
-    sets = texts.join(own, F.col("id") == F.col("_i"), "left_semi").select(F.col("id").alias("_i"), shingles(_tokens(F.col("text")), n_words).alias("s"))
-    met = left.union(right).join(store.put(sets, "wide-sets"), F.col("id") == F.col("_i")).drop("_i")
-    found = met.groupBy("g", "lb", "rb").applyInPandas(_block_links(round(similarity * 100)), "a bigint, b bigint")
+    rows = rows.withColumn("k", F.when(F.col("rest"), F.expr("pmod(xxhash64(h), nl)")).otherwise(F.expr("nl + pmod(xxhash64(h), nb)")))
+    left = rows.where("rest").select("g", "h", "comp", F.lit(0).alias("side"), F.col("k").alias("lb"), F.explode(F.expr("sequence(k, nl + nb - 1)")).alias("rb"))
+    right = rows.where("k > 0").select("g", "h", "comp", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, least(k, nl) - 1)")).alias("lb"), F.col("k").alias("rb"))
+    met = left.union(right).join(sets.select(F.col("h").alias("_h"), "s"), F.col("h") == F.col("_h")).select("g", F.col("h").alias("id"), "comp", "side", "lb", "rb", "s")
+    found = met.groupBy("g", "lb", "rb").applyInPandas(_block_links(percent), "a bigint, b bigint")
     return store.put(found, "exact-links")
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, k: int = 64, lists_of: int = 21, few: int = 64, hub_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, k: int = 64, lists_of: int = 32, max_hub_rounds: int = 4, work: int = WORK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Method. A document's set holds the hashes of its n-word shingles; its sketch the k least. Documents of equal sets
-    become one class, named by its least id. Each two neighbours among the `lists_of` least values of a class are a key of an
-    inverted list: of a pair of similarity 0.8, four in five values of the union are common, and the chance that among 21 no
-    two neighbours are is 1 in a million; unlike documents that share a passage rarely share neighbours. First each list's
-    members are held against one hub; the links that hold, confirmed on full sets, give components. In lists that have over
-    `few` members outside their largest component even so, `hub_rounds` times a hub of these is held against all. Then, in the
-    other lists of several components, members outside the largest one are held against all of other components, and lists
-    that still have more of them (a passage that many unlike documents share, a family of borderline copies) are searched
-    whole, on full sets, in salted blocks: work that grows with the members outside the largest component times all, but
-    rows that don't. No document, list or pair of a list is left out: `few` only says how a list is searched.
-
-    Null or blank texts have no shingles and stand alone. Rows of one doc_id are one document listed more than once: they
-    share a component; rows of a null doc_id each stand alone, with a null component, and are kept. Extra columns are
-    ignored. Equal sets tie to the least id.
+    become one class. Each class is listed under some of its `lists_of` least values: all but the t - 1 that most classes
+    have, where t of them are common to any two classes as similar as asked (see candidates()). Each list's members are held
+    against one hub: first by size, then by the sketch of the union, then on full sets. The links that hold give components.
+    Lists that still have members of several components are searched whole, on full sets, in salted blocks; where that would
+    take over `work` comparisons for each listed class, hub rounds come first, `max_hub_rounds` at most, each with a hub from
+    outside the largest component. These settings say in what order pairs are compared; none leaves a pair of a list out.
+
+    What can be lost is a pair whose common values fall short of a bound: for a pair of just the similarity, a chance of
+    LOSS in the lists, where either has over lists_of shingles, and of LOSS in the union's sketch, over k. Shorter ones lose nothing.
+
+    Null or blank texts have no shingles and stand alone. Rows of one doc_id are one document listed more than once: those
+    with words share a component; rows of a null doc_id each stand alone, with a null component, and are kept. Extra columns
+    are ignored. Sets are equal if their 64-bit hashes are.
     """
-    spark = docs.sparkSession
-    store = Store(spark)
+    store, percent = Store(docs.sparkSession), round(similarity * 100)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = base.select("id", shingles(_tokens(F.col("text")), n_words).alias("s"))
-    rows = store.put(sets.select("id", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("h"), F.hash("s").alias("h2"), F.slice("s", 1, k).alias("sketch")), "sketches")
+    whole = base.select("id", _set(F.col("text"), n_words).alias("s"))
+    rows = store.put(whole.select("id", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("h"), F.slice("s", 1, k).alias("sketch")), "sketches")
     real = rows.where("n > 0 and id is not null")
-    classes = real.groupBy("n", "h", "h2").agg(F.min("id").alias("rep"))
-    ids = store.put(rows.select("id", "n", "h", "h2").join(classes, ["n", "h", "h2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "classes")
-    own = ids.where("id = rep").select("rep", F.col("n").alias("_n")).groupBy("rep").agg(F.max("_n").alias("_n"))
-    # Only documents that share a listed value with another go on.
-    first = F.slice("sketch", 1, lists_of)
-    listed = real.select("id", "n", "sketch", F.col("id").alias("comp")).join(own, (F.col("id") == F.col("rep")) & (F.col("n") == F.col("_n"))).drop("rep", "_n")
-    lists = store.put(_lists(listed, first).select("id", "v"), "lists")
-    shared = lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select(F.col("v").alias("_v"))
-    near_by = store.put(lists.join(shared, F.col("v") == F.col("_v"), "left_semi"), "lists")
-    store.drop(lists)
-    some = near_by.select(F.col("id").alias("_i")).distinct()
-    reps = store.put(listed.join(some, F.col("id") == F.col("_i"), "left_semi").dropDuplicates(["id"]).drop("comp"), "reps")
-    store.drop(rows)
-    # The one time that all texts are moved; of any size, and so that it costs alike at every size.
-    texts = store.put(base.join(some.hint("merge"), F.col("id") == F.col("_i"), "left_semi"), "texts")
+    classes = store.put(real.groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    found = store.put(candidates(classes, lists_of, percent), "candidates")
+    lists = found.select("h", "rep", "n", F.explode("keep").alias("v"))
+    # The one time that texts are moved: those of listed classes come out of it as sets.
+    own = found.select(F.col("rep").alias("_r"), F.col("h").alias("_h"))
+    sets = base.join(own.hint("merge"), F.col("id") == F.col("_r")).select(F.col("_h").alias("h"), _set(F.col("text"), n_words).alias("s"))
+    sets = store.put(sets.where(F.xxhash64("s") == F.col("h")), "sets")
+    hubs = lists.groupBy("v").agg(F.min(F.struct("rep", "h")).alias("x"), F.count("*").alias("_m")).where("_m > 1").select(F.col("v").alias("_v"), F.col("x.h").alias("hub"))
+    lists = lists.join(hubs, F.col("v") == F.col("_v")).drop("_v")
 
     def confirm(pairs, name):
-        found = store.put(_estimated(pairs, reps, k, similarity), name)
-        links = store.put(_verified(found, texts, n_words, similarity), f"{name}-links")
-        store.drop(found)
+        pairs = store.put(pairs, f"{name}-pairs")
+        near = store.put(_estimated(pairs, found, k, percent), name)
+        links = store.put(_verified(near, sets, percent), f"{name}-links")
+        store.drop(pairs, near)
         return links
 
-    def labelled(links):
+    links = confirm(_hub_pairs(lists, percent), "hubs")
+    for turn in range(max_hub_rounds + 1):
         comps = components(links, store)
-        labels = store.put(near_by.join(comps, F.col("id") == F.col("node"), "left").select("id", "v", F.coalesce("component", "id").alias("comp")), "labels")
-        return labels, store.put(_list_stats(labels), "stats")
-
-    found = confirm(_hub_pairs(near_by), "hubs")
-    labels, stats = labelled(found)
-    for turn in range(hub_rounds):
-        found = found.union(confirm(_rest_hub_pairs(labels, stats.where(F.col("rest") > few), turn), f"rest{turn}"))
+        labels = store.put(lists.join(comps, F.col("h") == F.col("node"), "left").select("v", "h", "n", "hub", F.coalesce("component", "h").alias("comp")), "labels")
+        stats = store.put(_list_stats(labels), "stats")
+        load = stats.agg(F.sum(F.col("rest").cast("double") * F.col("m")) / lists_of).first()[0] or 0.0
+        if turn == max_hub_rounds or load == 0 or load <= work * found.count():
+            break
+        links = links.union(confirm(_rest_hub_pairs(labels, stats, turn, percent), f"rest{turn}"))
         store.drop(labels, stats)
-        labels, stats = labelled(found)
-    near = _cross_pairs(labels, stats.where(F.col("rest") <= few))
-    wide = labels.join(stats.where(F.col("rest") > few).select("_v"), F.col("v") == F.col("_v"), "left_semi")
-    links = confirm(near, "cross").union(_exact_links(wide, reps, texts, store, n_words, similarity))
-    same_id = ids.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    final = components(found.union(links).union(same_id), store)
-    out = ids.select("id", F.col("n").alias("n_shingles")).join(final, F.col("id") == F.col("node"), "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    if load:
+        links = links.union(_exact_links(labels, stats, sets, store, percent))
+    # Different texts of one id are joined, too.
+    ids = rows.where("n > 0 and id is not null").groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("_b")).where("a <> _b").select(F.col("id").alias("_i"), "a")
+    again = real.join(ids, F.col("id") == F.col("_i")).where("h <> a").select("a", F.col("h").alias("b"))
+    final = components(links.union(again), store)
+    names = final.join(classes.select("h", "rep"), F.col("node") == F.col("h"))
+    least = names.groupBy(F.col("component").alias("_c")).agg(F.min("rep").alias("least"))
+    names = names.join(least, F.col("component") == F.col("_c")).select(F.col("node").alias("_h"), "least")
+    named = classes.select("h", "rep").join(names, F.col("h") == F.col("_h"), "left").select(F.col("h").alias("_h"), F.coalesce("least", "rep").alias("least"))
+    out = rows.select("id", "n", "h").join(named, F.col("h") == F.col("_h"), "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def dedup_documents(docs: DataFrame, n_words: int = 5, similarity: float = 0.8) -> DataFrame:

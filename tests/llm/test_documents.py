@@ -105,6 +105,51 @@ def test_near_duplicates_borderline_family(docs):
     assert got == family | unlike
 
 
+@pytest.mark.parametrize(("settings", "size"), [({}, 400), ({"work": 0}, 150), ({"work": 0, "max_hub_rounds": 0}, 400)])
+def test_near_duplicates_family_without_centre(docs, settings, size):
+    """Copies of a base with 2 to 5 words changed: few of them are linked, and hubs don't find the links. However it is searched, the result is that of all pairs."""
+    rng = random.Random(5)
+    base = [f"b{rng.randrange(10**9)}" for _ in range(120)]
+    rows = []
+    for i in range(size):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randrange(2, 6)):
+            w[at] = f"c{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows)
+    assert 10 < len({c for _, c in want.values()}) < size
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(near_dedup.near_duplicates(docs(rows), 4, **settings))}
+    assert got == want
+
+
+def test_near_duplicates_short_and_long(docs):
+    """Sets about as large as the lists and the sketch, where bounds change, and a very long text with its copy."""
+    rng = random.Random(9)
+    rows = []
+    for n in range(1, 100, 2):
+        w = text(rng, n, 10**9).split()
+        for cut in (0, 1, n // 12, n // 6):
+            rows.append((len(rows), " ".join(w[cut:])))
+    long = text(rng, 60_000, 10**9)
+    rows += [(1000, long), (1001, long + " end"), (1002, long[: len(long) // 2])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(near_dedup.near_duplicates(docs(rows), 4))}
+    assert got == brute_components(rows)
+    assert got[1001][1] == 1000 and got[1002][1] == 1002
+
+
+def test_near_duplicates_repeated_ids(docs):
+    """Texts of one id share a component; rows without words and rows without an id stand alone."""
+    a, b, c = "a b c d e f g h", "p q r s t u v w", "x1 x2 x3 x4 x5"
+    rows = [(3, a), (1, a), (3, b), (9, b), (3, b), (3, None), (None, a), (4, c)]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in rows_of(near_dedup.near_duplicates(docs(rows), 4)))
+    assert got == sorted([("3", 5, "1", False), ("1", 5, "1", True), ("3", 5, "1", False), ("9", 5, "1", False), ("3", 5, "1", False), ("3", 0, "3", True), ("None", 5, "None", True), ("4", 2, "4", True)])
+
+
+def test_least_common():
+    assert near_dedup.least_common(64, 80) == 34 and near_dedup.least_common(32, 80) == 13
+    assert near_dedup.least_common(10, 100) == 10
+
+
 def test_near_duplicates_block_kernel():
     """Common values of sets, by tables and pair by pair, and a forest that joins what the links join."""
     import numpy as np
