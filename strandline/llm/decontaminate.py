@@ -5,94 +5,123 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, Store, let, lower_ascii, words
+from .common import NOT_WORD, Store, let, lower_ascii, run_hashes, words
 
-#: Tokens of the benchmark up to which they are sent to every executor: 2 million longs are some 100 MB as a hash table.
-BROADCAST_TOKENS = 500_000
+#: Rows of a small side that are sent to every executor, of numbers only: some 50 MB as a hash table. More are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: A word before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
     return words(lower_ascii(text), NOT_WORD)
 
 
-def _token_hashes(w: Column, n: int) -> Column:
-    """Hashes of all runs of n words, in order; empty if there are fewer."""
-    return F.when(
-        F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(n)]))
-    ).otherwise(F.array().cast("array<bigint>"))
+def _tokens(w: Column, lengths: list[int]) -> Column:
+    """(pos, token) of all runs of each length in an array of words, pos from 0; token is a hash."""
+    none = F.array().cast("array<struct<pos:int,token:bigint>>")
 
+    def of(hashes: Column) -> Column:
+        place = lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("token"))
+        return F.concat(none, *[F.when(F.size(hashes) >= n, F.transform(run_hashes(hashes, n), place)).otherwise(none) for n in lengths])
 
-def item_windows(items: DataFrame, window: int, token_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(win, m, token_n, token, offset, item_ids): each distinct window with each of its tokens and the items that have it."""
+    return let(F.transform(w, lambda x: F.xxhash64(x)), of)
+
+
+def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """(wid, win, m, item_ids): each distinct window of m words and the items that have it."""
     w = items.select(F.col(id_col).cast("string").alias("item"), _words(F.col(text_col)).alias("w")).where("size(w) > 0")
     starts = w.select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1))).alias("p"))
     wins = starts.select("item", F.slice("w", F.col("p"), window).alias("win")).groupBy("win").agg(F.collect_set("item").alias("item_ids"))
-    wins = wins.withColumns({"m": F.size("win"), "token_n": F.least(F.size("win"), F.lit(token_words))})
-    tokens = F.coalesce(*[F.when(F.col("token_n") == n, _token_hashes(F.col("win"), n)) for n in range(1, token_words + 1)])
-    return wins.select("win", "m", "token_n", "item_ids", F.posexplode(tokens).alias("offset", "token"))
+    return wins.select(F.xxhash64("win").alias("wid"), "win", F.size("win").alias("m"), "item_ids")
+
 
+def _rarest(own: DataFrame, wins: DataFrame, store: Store, token_words: int, limit: int):
+    """The windows' prefixes (wid, token, offset, m), their number, and the lengths of their tokens.
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, token_words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    Rarity is a token's number of occurrences in the documents, counted for tokens of the benchmark only. A window one of
+    whose tokens occurs nowhere can't occur and gets no prefix.
+    """
+    lengths = sorted(r[0] for r in wins.select(F.least("m", F.lit(token_words))).distinct().collect())  # token_words numbers at most
+    each = wins.select("wid", "m", F.least("m", F.lit(token_words)).alias("token_n"), "win")
+    parts = [each.where(F.col("token_n") == n).select("wid", "m", F.explode(_tokens(F.col("win"), [n])).alias("x")) for n in lengths]
+    if not parts:
+        return None, 0, []
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.union(more)
+    tokens = store.put(rows.select("wid", "m", "x.token", F.col("x.pos").alias("offset")), "tokens")
+    distinct = tokens.select(F.col("token").alias("_t")).distinct()
+    seen = own.select(F.explode(_tokens(_words(F.col("text")), lengths)).alias("x")).select("x.token")
+    if distinct.count() <= limit:
+        counts = seen.join(F.broadcast(distinct), F.col("token") == F.col("_t")).groupBy("_t").agg(F.count("*").alias("rarity"))
+    else:
+        counts = seen.groupBy("token").agg(F.count("*").alias("rarity")).join(distinct, F.col("token") == F.col("_t")).select("_t", "rarity")
+    ranked = tokens.join(counts, F.col("token") == F.col("_t"), "left")
+    first = ranked.groupBy("wid").agg(F.min(F.struct(F.coalesce("rarity", F.lit(0)).alias("rarity"), "token", "offset", "m")).alias("x"))
+    prefix = store.put(first.where("x.rarity > 0").select("wid", "x.token", "x.offset", "x.m"), "prefixes")
+    return prefix, prefix.count(), lengths
+
+
+def _judged(own: DataFrame, items: DataFrame, window: int, token_words: int, item_col: str, item_text: str, limit: int) -> DataFrame:
+    """own (id, text, ...) with n_words, text_hash, spans (p, m) that hold a window, and item_ids of these."""
+    store = Store(own.sparkSession)
+    wins = store.put(item_windows(items, window, item_col, item_text), "windows")
+    prefix, n_prefixes, lengths = _rarest(own, wins, store, token_words, limit)
+    own = own.withColumns({"text_hash": F.xxhash64(F.coalesce("text", F.lit(""))), "n_words": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")})
+    span = "array<struct<p:int,m:int,win:array<string>,item_ids:array<string>>>"
+    if not n_prefixes:
+        return own.withColumn("hits", F.array().cast(span))
+    small = lambda df, n: F.broadcast(df) if n <= limit else df
+    at = own.select("id", "text_hash", "n_words", F.explode(_tokens(_words(F.col("text")), lengths)).alias("x")).select("id", "text_hash", "n_words", "x.pos", "x.token")
+    probe = small(prefix.select(F.col("token").alias("_t"), "offset", "m", "wid"), n_prefixes)
+    start = F.col("pos") - F.col("offset")
+    # Positional bound: the token's place fixes the window's start. Length bound: all of the window is in the document.
+    found = at.join(probe, F.col("token") == F.col("_t")).where((start >= 0) & (start + F.col("m") <= F.col("n_words")))
+    found = store.put(found.select("id", "text_hash", start.alias("p"), "wid"), "candidates")
+    full = found.distinct().join(wins.withColumnRenamed("wid", "_w"), F.col("wid") == F.col("_w"))
+    per = full.groupBy(F.col("id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.collect_list(F.struct("p", "m", "win", "item_ids")).alias("maybe"))
+    per = store.put(per, "candidate-documents")
+    # A twentieth of the rows, as these have words: no more bytes than other broadcasts.
+    per = small(per, 20 * found.count())
+    rows = own.join(per, F.col("id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h")), "left")
+    held = let(_words(F.col("text")), lambda w: F.filter("maybe", lambda x: F.slice(w, x["p"] + 1, x["m"]) == x["win"]))
+    return rows.withColumn("hits", F.when(F.col("maybe").isNull(), F.array().cast(span)).otherwise(held)).drop("_i", "_h", "maybe")
+
+
+def _n_hit(hits: Column) -> Column:
+    """Words hit: each span, less what an earlier one has covered."""
+    spans = F.sort_array(F.transform(hits, lambda x: F.struct(x["p"].alias("p"), x["m"].alias("m"))))
+    return F.aggregate(
+        spans, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
+        lambda a, s: F.struct(F.greatest(a["end"], s["p"] + s["m"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["p"] + s["m"] - F.greatest(a["end"], s["p"]))).alias("n")),
+    )["n"].cast("long")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, token_words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, item_ids, text_hash) for every row of docs.
 
     An item window is `window` consecutive words of an item (all of a shorter one). Method: the set of a window holds its
-    shingles of `token_words` words, ordered by rarity in the documents. Containment must be whole, so the necessary
-    prefix is the rarest shingle: a document holds the window only where it holds that shingle. Occurrences of it give
-    candidates; the shingle's place in the window fixes where the window would start (positional bound), which must be
-    inside the document, with room for all its words (length bound). The words themselves are then compared, over a
-    stretch of the window's size. Occurrences of benchmark shingles are found in one scan, without a shuffle while the
-    benchmark has at most BROADCAST_TOKENS of them, else by a shuffled join.
+    shingles of `token_words` words, ordered by rarity. Containment must be whole, so the necessary prefix is the rarest
+    shingle: a document holds the window only where it holds that shingle. A first scan counts the benchmark's shingles in
+    the documents; a second joins the documents' shingles with the prefixes alone. A shingle's place in the window fixes where
+    the window would start (positional bound), which must be inside the document, with room for all its words (length
+    bound). In documents with candidates the words themselves are then compared, over a stretch of the window's size.
+
+    Only numbers are carried from shingle to shingle, never a document's words. Sides of up to broadcast_rows rows are
+    broadcast; larger ones are joined by a shuffle, with the same result.
 
     Null and blank texts have no words; items without words have no windows. Rows of one doc_id and text get the same
     result, each its own row; null doc_ids are kept. Extra columns are ignored. An empty benchmark leaves all clean.
     """
-    store = Store(docs.sparkSession)
-    wins = store.put(item_windows(items, window, token_words, item_col, item_text), "windows")
-    size = wins.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("token_n")).alias("lengths")).first()
-    tokens = wins.select(F.col("token").alias("_t"), F.col("token_n").alias("_n")).distinct()
-    if size["n"] <= BROADCAST_TOKENS:
-        tokens = F.broadcast(tokens)
-
-    key = [F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h")]
-    base = docs.select(*key, _words(F.col(text_col)).alias("w"))
-    found = None
-    for n in size["lengths"]:
-        at = base.select("_id", "_h", "w", F.posexplode(_token_hashes(F.col("w"), n)).alias("pos", "token"))
-        hit = at.join(tokens.where(F.col("_n") == n), F.col("token") == F.col("_t"))
-        # The words around: a window that has the token starts at most window - n words earlier.
-        start = F.greatest(F.lit(0), F.col("pos") - (window - n))
-        hit = hit.select("_id", "_h", "token", F.lit(n).alias("token_n"), "pos", start.alias("from"), F.slice("w", start + 1, F.col("pos") - start + window).alias("around"))
-        found = hit if found is None else found.union(hit)
-    counts = docs.select(*key, let(_words(F.col(text_col)), F.size).cast("long").alias("n_words"), F.col(id_col))
-    if found is None:
-        return counts.select(id_col, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"), F.col("_h").alias("text_hash"))
-    found = store.put(found, "found")
-    rarity = found.groupBy("token", "token_n").agg(F.count("*").alias("rarity"))
-    # A window one of whose tokens occurs nowhere has no count for it, and can't occur.
-    ranked = wins.join(rarity, ["token", "token_n"], "left")
-    prefix = ranked.groupBy("win").agg(
-        F.min(F.struct(F.coalesce("rarity", F.lit(0)).alias("rarity"), "token", "offset", "token_n", "m", "item_ids")).alias("x")
-    ).where("x.rarity > 0").select("win", "x.token", "x.offset", "x.token_n", "x.m", "x.item_ids")
-    held = found.join(prefix, ["token", "token_n"])
-    p = F.col("pos") - F.col("offset")
-    held = held.where((p >= F.col("from")) & (F.slice("around", F.greatest(F.lit(1), p - F.col("from") + 1), F.col("m")) == F.col("win")))
-    held = held.select("_id", "_h", p.alias("p"), "m", "item_ids")
-    per = held.groupBy("_id", "_h").agg(
-        F.collect_set(F.struct("p", "m")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids")
-    )
-    # Words hit: each span, less what an earlier one has covered.
-    fold = F.aggregate(
-        F.array_sort("spans"), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
-        lambda a, s: F.struct(F.greatest(a["end"], s["p"] + s["m"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["p"] + s["m"] - F.greatest(a["end"], s["p"]))).alias("n")),
-    )
-    per = per.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), fold["n"].cast("long").alias("n_hit"), "item_ids")
-    out = counts.join(per, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
-    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select(id_col, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.col("_h").alias("text_hash"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = _judged(own, items, window, token_words, item_col, item_text, broadcast_rows)
+    ids = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["item_ids"]))))
+    out = out.select("id", "n_words", _n_hit(F.col("hits")).alias("n_hit"), ids.alias("item_ids"), "text_hash")
+    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "text_hash")
 
 
 def decontaminate_documents(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs, with all their columns, in which no item window occurs."""
-    hit = decontaminate(docs, items, window).where("n_hit > 0").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_t")).distinct()
-    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return rows.join(hit, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t")), "left_anti").select("_row.*")
+    own = docs.select(F.col("doc_id").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return _judged(own, items, window, 5, "item_id", "text", BROADCAST_ROWS).where(F.size("hits") == 0).select("_row.*")

@@ -214,7 +214,8 @@ def brute_hits(rows, items, n=10):
     return sorted(out, key=str)
 
 
-def test_decontaminate_brute_force(spark, docs, clash):
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontaminate_brute_force(spark, docs, clash, limit):
     rng = random.Random(5)
     items = [(i, text(rng, rng.choice([1, 2, 3, 9, 10, 11, 40]), 30 if i % 2 else 4000)) for i in range(12)] + [(90, None), (91, ""), (92, "!!")]
     rows = [(i, text(rng, 60, 4000)) for i in range(20)]
@@ -223,8 +224,9 @@ def test_decontaminate_brute_force(spark, docs, clash):
         k = rng.randrange(len(w))
         rows.append((i, f"{text(rng, 20, 4000)} {' - '.join(w[k : k + rng.randrange(1, 30)]).upper()}, {text(rng, 5, 4000)}"))
     rows += EDGE
+    rows.append((500, f"{text(rng, 30_000, 4000)} {items[2][1]} {text(rng, 30_000, 4000)}"))
     made = spark.createDataFrame(items, "item_id bigint, text string")
-    got = [(r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["item_ids"])) for r in rows_of(decontaminate.decontaminate(clash(docs(rows)), made))]
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["item_ids"])) for r in rows_of(decontaminate.decontaminate(clash(docs(rows)), made, broadcast_rows=limit))]
     assert sorted(got, key=str) == brute_hits(rows, items)
     assert any(g[2] for g in got)
 
