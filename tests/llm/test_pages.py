@@ -42,6 +42,73 @@ def test_template_removal(spark):
     assert html_text.extract(spark.createDataFrame(rows, PAGE)).count() == len(rows)
 
 
+def test_text_of_names():
+    """Inside an article a name counts whole, and not on paragraphs."""
+    page = "<article><div class='share-price'><p>The share price rose.</p></div><p class='notice'>two</p><div class='cookie-notice'>no</div><ul class='share'><li>no</li></ul><div class='ad-300x250'>no</div><div id='discomments'>yes</div></article>"
+    assert html_text.text_of(page) == "The share price rose.\ntwo\nyes"
+
+
+def test_text_of_deep_and_long():
+    deep = "<div>" * 100_000
+    assert html_text.text_of(f"<article><header>{deep}<h2>Title</h2></header><p>body</p></article>") == "Title\nbody"
+    assert html_text.text_of(f"<article>{'<p>word' * 100_000}</article>").count("\n") == 99_999
+    assert html_text.text_of(f"{deep}{'</p></span>' * 1000}end") == "end"
+    root = html_text.parse(f"<nav>{deep}menu</nav>")
+    assert len(html_text.subtrees(root, html_text.main_parts(root))) == 100_001
+
+
+def test_template_counts_brute_force(spark):
+    """Subtrees of whole pages are counted as a plain count over another parser's trees does, and deleted from ten unlike pages on."""
+    import random
+    import xml.etree.ElementTree as ET
+    from collections import defaultdict
+
+    rng = random.Random(3)
+    rows, host_of = [], ["h0.example", "h0.example", "h1.example", "h2.example"]
+    for i in range(160):
+        host = rng.choice(host_of)
+        pick = lambda n: rng.randrange(n)  # noqa: E731, B023
+        body = f"<nav><ul>{''.join(f'<li>item {pick(20)}</li>' for _ in range(3))}</ul></nav><div><span>promise {pick(6)}</span></div>"
+        body += f"<article><p>same words</p><p>own {i // 2 * 2}</p><section><p>follow {pick(4)}</p></section><table><tr><td>cell {pick(3)}</td></tr></table></article><footer>by {host}</footer>"
+        rows.append((i, f"https://{host}/{i}", f"<html><body>{body}</body></html>"))
+    want, texts = defaultdict(set), {}
+
+    def form(e):
+        return f"<{e.tag}>{e.text or ''}{''.join(form(c) + (c.tail or '') for c in e)}</>"
+
+    def candidates(e, inside):
+        if e.tag not in ("html", "body", "article", "span") and not (inside and e.tag in ("p", "tr", "td")):
+            yield e
+        for c in e:
+            yield from candidates(c, inside or e.tag == "article")
+
+    for i, url, page in rows:
+        root = ET.fromstring(page)
+        for e in candidates(root, False):
+            want[url.split("/")[2], form(e)].add(form(root.find("body/article")))
+    for i, url, page in rows:
+        article, out = ET.fromstring(page).find("body/article"), []
+        for e in article:
+            if e.tag == "p" or len(want[url.split("/")[2], form(e)]) < 10:
+                out.append("".join(e.itertext()))
+        texts[i] = "\n".join(out)
+    made = spark.createDataFrame(rows, PAGE)
+    found = html_text.page_subtrees(made)
+    counts = found.select("host", "h", "main").distinct().groupBy("host", "h").count().collect()
+    assert sorted((r["host"], r["count"]) for r in counts) == sorted((h, len(v)) for (h, _), v in want.items())
+    assert html_text.templates(found, 10).count() == sum(len(v) >= 10 for v in want.values()) > 20
+    for limit in (html_text.BROADCAST_ROWS, 0):
+        assert {r["page_id"]: r["text"] for r in html_text.extract(made, broadcast_rows=limit).collect()} == texts
+    assert len({t.count("\n") for t in texts.values()}) > 1
+
+
+def test_extract_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.createDataFrame([(1, "u", "<p>x</p>")], PAGE).withColumns({n: F.lit("other") for n in ("text", "host", "h", "main", "page", "_host", "_page", "_html", "template", "n_chars")})
+    assert [tuple(r) for r in html_text.extract(made).collect()] == [(1, "u", "x", 1)]
+
+
 RECORD = "record_id string, type string, url string, ts bigint, status int, headers map<string,string>"
 
 
