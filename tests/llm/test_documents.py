@@ -293,6 +293,78 @@ def test_quality_rejects_outliers_only(docs, clash):
     assert quality.quality(docs([])).count() == 0
 
 
+def plain_mcd(x, noise, share=0.75, starts=200):
+    """Rows kept by a minimum-covariance-determinant estimate, by many random starts and exact subsets."""
+    import numpy as np
+
+    rng, f = np.random.default_rng(1), np.diag(np.square(noise))
+    h, best = int(np.ceil(share * len(x))), None
+    # Quantiles of chi-square with 4 degrees, and the factors that make trimmed covariances consistent.
+    inner, tail, c_share, c_weight = 11.143287, 18.466827, 1.486416, 1.064466
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    for _ in range(starts):
+        own = rng.choice(len(x), 5, replace=False)
+        for _ in range(50):
+            m, c = x[own].mean(0), np.cov(x[own].T, bias=True)
+            new = np.sort(np.argsort(distance(m, c + f), kind="stable")[:h])
+            if np.array_equal(new, own):
+                break
+            own = new
+        det = np.linalg.slogdet(c + f)[1]
+        if best is None or det < best[0] - 1e-9:
+            best = (det, m, c)
+    _, m, c = best
+    held = x[distance(m, c_share * c + f) <= inner]
+    return distance(held.mean(0), c_weight * np.cov(held.T, bias=True) + f) <= tail
+
+
+def test_quality_estimates_equal_plain_mcd(docs):
+    """Three groups: symbols in a quarter, repeats in a fifth, and long words in a cluster of near a quarter, which a start by medians alone must not follow."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(12)
+    word = lambda k: "".join(rng.choice("etaoinshrdlu") for _ in range(k))
+    prose = lambda n, lengths: [word(rng.choice(lengths)) for _ in range(n)]
+    rows = []
+    for i in range(160):
+        n = rng.randrange(70, 200)
+        w = prose(n, [2, 3, 4, 5, 6, 9])
+        rows.append((len(rows), " ".join(x + "#" * (i % 4 == 0 and rng.random() < 0.8) for x in w), "en", "symbols"))
+        w = prose(n, [2, 3, 4, 5, 6, 9])
+        lines = [" ".join(w[k : k + 12]) for k in range(0, n, 12)]
+        if i % 5 == 0:
+            lines = lines[: len(lines) // 2] + lines[: len(lines) // 2]
+            lines = [x if k < 3 else " ".join(prose(12, [3, 5])) for k, x in enumerate(lines[:-2])] + lines[:2]
+        rows.append((len(rows), "\n".join(lines), "en", "repeats"))
+        rows.append((len(rows), " ".join(prose(n, [7, 8, 9, 10, 11] if i % 9 < 2 else [2, 3, 4, 5, 6, 9])), "de", "long"))
+    got = {r["doc_id"]: r for r in rows_of(quality.quality(docs(rows)))}
+    for source in ("symbols", "repeats", "long"):
+        own = [(i, t) for i, t, _, s in rows if s == source and not got[i]["base_failed"]]
+        x = []
+        for i, t in own:
+            r, lines = got[i], t.count("\n") + 1
+            x.append([round(1000 * v) for v in (math.log(r["word_chars"] / r["n_words"]), math.sqrt(r["n_symbols"] / r["word_chars"]), math.sqrt(r["n_repeat_words"] / r["n_words"]), math.sqrt(r["n_dup_lines"] / (lines + 2)))])
+        want = plain_mcd(np.array(x, float), [40, 30, 120, 110])
+        assert [got[i]["kept"] for i, _ in own] == want.tolist(), source
+        assert 0.7 < want.mean() < 0.97, source
+
+
+@pytest.mark.parametrize("kind", ["symbols", "phrases", "lines", "length"])
+def test_quality_each_statistic_rejects(docs, kind):
+    """A plain outlier of one statistic goes; one stray symbol, phrase or line doesn't."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice([2, 3, 4, 5, 6, 9])))
+    lines = lambda n: [" ".join(word() for _ in range(10)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(12))) for i in range(120)]
+    w = lines(12)
+    out = {"symbols": [x + " ##" for x in w], "phrases": [x + " this again and again" for x in w], "lines": w[:8] + w[:4], "length": [" ".join(word() + word() for _ in range(10)) for _ in range(12)]}[kind]
+    few = {"symbols": [*w[1:], w[0] + " #"], "phrases": [x + " this again and" if k < 2 else x for k, x in enumerate(w)], "lines": w[:11] + w[:1], "length": w}[kind]
+    got = {r["doc_id"]: r["kept"] for r in rows_of(quality.quality(docs([*rows, (1000, "\n".join(out)), (1001, "\n".join(few))])))}
+    assert not got[1000] and got[1001] and sum(got[i] for i in range(120)) >= 118
+
+
 def test_quality_without_groups(docs):
     """Null languages and sources are groups; too few rows for an estimate leave the base rules; equal rows have no spread."""
     words = [f"word{i}" for i in range(60)]
