@@ -11,7 +11,7 @@ from .common import Store, let, run_hashes, words
 
 #: Transformed statistics, in thousandths, and the noise of each, which an estimate's spread has at least: a text of 50 words
 #: has a mean word length as uncertain as that, a stray symbol or two, a repeated phrase, a repeated line among three.
-STATS = {"x1": 40, "x2": 30, "x3": 120, "x4": 110}
+STATS = {"x1": 40, "x2": 30, "x3": 120, "x4": 130}
 P = len(STATS)
 SHARE, MIN_ROWS = 0.75, 50
 #: Starts besides that by medians, the rows each is taken from, and concentration steps at most.
