@@ -390,10 +390,27 @@ def test_line_dedup_brute_force(docs, clash):
         want.append((i, len(lines), len(lines) - len(keep), "\n".join(keep)))
     got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in rows_of(line_dedup.dedup_lines(clash(docs(rows)).drop("kept", "drop")))]
     assert sorted(got) == sorted(want)
-    tiny = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in rows_of(line_dedup.dedup_lines(docs(rows), bits=64 * 64))]
-    assert sorted(tiny) == sorted(want)  # full filters suspect all lines; none is lost
+    # Full filters suspect all lines, keys past the limit are joined, filters of many partitions are merged in two steps: with the same result.
+    for made, settings in ((docs(rows), {"bits": 64}), (docs(rows), {"broadcast_keys": 0}), (docs(rows).repartition(line_dedup.MERGED + 1), {})):
+        assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in rows_of(line_dedup.dedup_lines(made, **settings))) == sorted(want)
     assert line_dedup.dedup_lines(docs([])).count() == 0
-    assert line_dedup.dedup_lines(docs(EDGE)).count() == len(EDGE)
+    edge = [*EDGE, (7, "this line is there twice\nand more"), (7, "this line is there twice\nand more"), (8, "THIS line is there twice "), (None, "this line is there twice"), (9, f"{'a long line ' * 50_000}\nx")]
+    got = sorted(((str(r["doc_id"]), r["n_lines"], r["n_dropped"]) for r in rows_of(line_dedup.dedup_lines(docs(edge)))))
+    assert len(got) == len(edge) and got.count(("7", 2, 0)) == 2 and ("8", 1, 1) in got and got.count(("None", 1, 1)) == 1 and ("9", 2, 0) in got
+
+
+def test_line_filters_suspect_few():
+    """Merged filters hold all keys of two partitions or more, and few others."""
+    import numpy as np
+
+    rng, bits = np.random.default_rng(4), 1 << 22
+    parts = [rng.integers(0, 2**63, 20_000, dtype=np.uint64) for _ in range(10)]
+    parts[3][:500], parts[7][:200] = parts[0][:500], parts[5][:200]
+    rows = [line_dedup._sliced(line_dedup._slots(p, bits), bits) for p in parts]
+    packed = np.concatenate([np.broadcast_to(line_dedup._merge([(r[s], b"") for r in rows])[1], (line_dedup.SLICE_BITS // 8,)) for s in range(bits // line_dedup.SLICE_BITS)])
+    marked = [line_dedup._marked(packed, line_dedup._slots(p, bits)) for p in parts]
+    assert marked[3][:500].all() and marked[0][:500].all() and marked[7][:200].all() and marked[5][:200].all()
+    assert sum(m.sum() for m in marked) < 1400 + 0.01 * 200_000
 
 
 def test_mixing(docs, clash):
