@@ -39,13 +39,15 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near-duplicates", near_dedup), ("decontamination", decontamination), ("source mix", source_mix), ("token ids", token_ids)]
 
-#: SQL has no tokenizer; tests hold each stage against a plain version.
+#: SQL has no tokenizer; tests hold each stage, and run(), against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table documents; each one's result is stored in the shared folder and read by the next."""
-    store, docs = Store(spark), table(spark, sf_dir, "documents")
+    store, docs, before = Store(spark), table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = store.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        store.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
