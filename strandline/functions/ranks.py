@@ -12,7 +12,7 @@ RANKS = (
 )
 SEQUENCE, SPECIES, GENUS, ROOT, NONE = 0, 4, 6, 20, 21
 N_RANKS = 21
-#: Other names of ranks.
+#: Other names of ranks.
 ALIASES = {
     "genome": "sequence", "forma": "form", "varietas": "variety", "species group": "subgenus", "species subgroup": "subgenus", "superfamily": "suborder", "parvorder": "suborder",
     "infraorder": "suborder", "superorder": "subclass", "infraclass": "subclass", "superclass": "subphylum", "division": "phylum", "superphylum": "subkingdom", "subdomain": "kingdom", "superkingdom": "domain",

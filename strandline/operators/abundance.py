@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import NONE
 from ..stored import stored
 from .taxonomy import lowest_ancestor_from
 
@@ -42,7 +43,17 @@ def estimate(counts: DataFrame, lineages: DataFrame, taxa: DataFrame, rank: int)
 
 
 def abundance_table(counts: DataFrame, taxa: DataFrame, total: DataFrame) -> DataFrame:
-    """(rank, name, taxid, n, pct): counts with names, and their percentage of all reads; a sequence shows its parent's id. total: one row (total)."""
+    """(rank, name, taxid, n, pct): counts with names, and their percentage of all reads; a sequence shows its parent's id.
+
+    The last row, of rank `none` and taxid 0, has the reads without a taxon. total: one row (total, unclassified).
+    """
     rows = counts.join(taxa.select(F.col("id").alias("tax"), "rank", "name", "parent"), "tax").crossJoin(F.broadcast(total))  # one row
     taxid = F.when(F.col("tax") < 0, F.col("parent")).otherwise(F.col("tax"))
-    return rows.select("rank", "name", taxid.alias("taxid"), "n", (100 * F.col("n") / F.col("total")).alias("pct"))
+    pct = lambda n: F.when(F.col("total") > 0, 100 * F.col(n) / F.col("total")).otherwise(0.0).alias("pct")
+    none = total.select(F.lit(NONE).alias("rank"), F.lit("unclassified").alias("name"), F.lit(0).cast("bigint").alias("taxid"), F.col("unclassified").cast("double").alias("n"), pct("unclassified"))
+    return rows.select("rank", "name", taxid.alias("taxid"), "n", pct("n")).union(none)
+
+
+def totals(reads: DataFrame, classified: DataFrame) -> DataFrame:
+    """One row (total, unclassified): reads, and those without a taxon."""
+    return reads.select("query_id").join(classified.select("query_id", "tax"), "query_id", "left").agg(F.count("*").alias("total"), F.sum(F.col("tax").isNull().cast("bigint")).alias("unclassified")).na.fill(0)

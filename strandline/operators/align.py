@@ -101,9 +101,18 @@ def subject_slice(seq: Column, beg: Column, end: Column, window: int, stride: in
     return F.substring(seq, (stride * beg + 1).cast("int"), (stride * (end - beg) + window).cast("int"))
 
 
-def alignments(candidates: DataFrame, reads: DataFrame, targets: DataFrame, window: int, stride: int) -> DataFrame:
-    """(query_id, tgt, score, query, subject, strand) for each read's first candidate; targets: (tgt, seq)."""
+def alignments(candidates: DataFrame, reads: DataFrame, targets: DataFrame, window: int, stride: int, classified: DataFrame | None = None) -> DataFrame:
+    """(query_id, tgt, score, query, subject, strand) for each read's first candidate; targets: (tgt, seq).
+
+    Candidates that were merged at a rank (with `tax`) are aligned only where that is a sequence; with classified
+    (query_id, tax), only reads that have a taxon are.
+    """
     ship(candidates.sparkSession)
-    rows = candidates.where("pos = 1").join(reads.select("query_id", "seq1", "seq2"), "query_id").join(targets.select("tgt", "seq"), "tgt")
+    top = candidates.where("pos = 1")
+    if "tax" in top.columns:
+        top = top.where("tax < 0")
+    if classified is not None:
+        top = top.join(classified.where("tax is not null"), "query_id", "left_semi")
+    rows = top.join(reads.select("query_id", "seq1", "seq2"), "query_id").join(targets.select("tgt", "seq"), "tgt")
     out = rows.select("query_id", "tgt", align_udf(F.col("seq1"), F.col("seq2"), subject_slice(F.col("seq"), F.col("beg"), F.col("end"), window, stride)).alias("x"))
     return out.select("query_id", "tgt", "x.*")

@@ -27,18 +27,19 @@ def window_ranges(hits: DataFrame, reads: DataFrame) -> DataFrame:
 
     A range ends at a hit window and begins at the first hit within n_win before it. reads: (query_id, n_win).
     """
-    a = hits.join(reads.select("query_id", "n_win"), "query_id")
-    b = hits.select("query_id", "tgt", F.col("win").alias("w"), F.col("n").alias("m"))
-    spans = a.join(b, ["query_id", "tgt"]).where("w <= win and w > win - n_win").groupBy("query_id", "tgt", "win").agg(F.sum("m").alias("hits"), F.min("w").alias("beg"))
-    best = spans.groupBy("query_id", "tgt").agg(F.max(F.struct("hits", (-F.col("win")).alias("_e"), "beg")).alias("x"))
+    best = all_ranges(hits, reads).groupBy("query_id", "tgt").agg(F.max(F.struct("hits", (-F.col("end")).alias("_e"), "beg")).alias("x"))
     return best.select("query_id", "tgt", F.col("x.hits").alias("hits"), F.col("x.beg").alias("beg"), (-F.col("x._e")).alias("end"))
 
 
 def all_ranges(hits: DataFrame, reads: DataFrame) -> DataFrame:
-    """Every range: one for each hit window at its end."""
-    a = hits.join(reads.select("query_id", "n_win"), "query_id")
-    b = hits.select("query_id", "tgt", F.col("win").alias("w"), F.col("n").alias("m"))
-    return a.join(b, ["query_id", "tgt"]).where("w <= win and w > win - n_win").groupBy("query_id", "tgt", F.col("win").alias("end")).agg(F.sum("m").alias("hits"), F.min("w").alias("beg"))
+    """Every range: one for each hit window at its end. Work grows with the hits times the windows of a range.
+
+    A frame of fixed width slides over windows in units of the read's range, n_win - 1 steps. The width has a little more
+    than one unit, for rounding; the next window is a whole step further.
+    """
+    rows = hits.join(reads.select("query_id", "n_win"), "query_id").withColumn("_u", F.col("win") / F.greatest(F.col("n_win") - 1, F.lit(0.5)))
+    over = "OVER (PARTITION BY query_id, tgt ORDER BY _u RANGE BETWEEN 1.000001D PRECEDING AND CURRENT ROW)"
+    return rows.select("query_id", "tgt", F.col("win").alias("end"), F.expr(f"sum(n) {over}").alias("hits"), F.expr(f"min(win) {over}").alias("beg"))
 
 
 def top_candidates(ranges: DataFrame, k: int) -> DataFrame:
@@ -59,8 +60,8 @@ def top_candidates_at(ranges: DataFrame, lineages: DataFrame, rank: int, k: int)
 
 
 def hits_per_target(candidates: DataFrame) -> DataFrame:
-    """(tgt, matches): `query/beg-end:hits`, by range, then read."""
-    item = lambda x: F.concat(x["query_id"].cast("string"), F.lit("/"), x["beg"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit(":"), x["hits"].cast("string"))
+    """(tgt, matches): `query/first window+further windows:hits`, by range, then read."""
+    item = lambda x: F.concat(x["query_id"].cast("string"), F.lit("/"), x["beg"].cast("string"), F.lit("+"), (x["end"] - x["beg"]).cast("string"), F.lit(":"), x["hits"].cast("string"))
     return candidates.groupBy("tgt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("beg", "end", "query_id", "hits"))), item), ",").alias("matches"))
 
 

@@ -57,3 +57,13 @@ def coverage_statistics(assigned: DataFrame, lineages: DataFrame, covered: DataF
     inside, hit = F.col("_c").isNotNull(), F.col("hit")
     count = lambda w: F.sum(w.cast("bigint"))
     return at.groupBy("rank").agg(count(inside & hit).alias("tp"), count(~inside & hit).alias("fp"), count(~inside & ~hit).alias("tn"), count(inside & ~hit).alias("fn"))
+
+
+def confusion_rates(confusion: DataFrame) -> DataFrame:
+    """Counts (tp, fp, tn, fn) with their rates; a rate without any case is 0."""
+    c = F.col
+    rate = lambda a, b: F.when(b != 0, a.cast("double") / b).otherwise(0.0)
+    tp, fp, tn, fn = (c(x).cast("double") for x in ("tp", "fp", "tn", "fn"))
+    out = confusion.withColumns({"sensitivity": rate(tp, tp + fn), "specificity": rate(tn, tn + fp), "precision": rate(tp, tp + fp), "negative_precision": rate(tn, tn + fn), "false_positive_rate": rate(fp, fp + tn), "false_negative_rate": rate(fn, fn + tp), "false_discovery_rate": rate(fp, fp + tp)})
+    out = out.withColumns({"accuracy": rate(tp + tn, tp + tn + fp + fn), "f1": rate(2 * tp, 2 * tp + fp + fn), "correlation": rate(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))})
+    return out.withColumns({"informedness": c("sensitivity") + c("specificity") - 1, "markedness": c("precision") + c("negative_precision") - 1})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def build(sketches: DataFrame, targets: DataFrame, max_locations: int = 254) -> DataFrame:
+def build(sketches: DataFrame, max_locations: int = 254) -> DataFrame:
     """(feature, tgt, win) of sketched targets (owner = tgt), at most max_locations of a feature, least (tgt, win) first."""
     return cap_locations(sketches.select("feature", F.col("owner").cast("bigint").alias("tgt"), "win"), max_locations)
 
@@ -67,8 +67,8 @@ def content(index: DataFrame, targets: DataFrame) -> DataFrame:
     return a.crossJoin(targets.agg(F.count("*").alias("targets"), F.sum((F.col("parent") != 0).cast("bigint")).alias("ranked_targets")))  # one row by one
 
 
-def unique_names(targets: DataFrame, name: str = "name", order: str = "tgt") -> DataFrame:
-    """Targets with repeated names told apart: the n-th gets `!1!2...!n-1` after its name."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
+def unique_names(targets: DataFrame, given: str = "name", order: str = "tgt") -> DataFrame:
+    """Targets with repeated names told apart in `name`: the n-th of a given name gets `!1!2...!n-1` after it."""
+    n = F.row_number().over(Window.partitionBy(given).orderBy(order))
     tail = F.when(n > 1, F.concat(F.lit("!"), F.array_join(F.sequence(F.lit(1), n - 1), "!"))).otherwise("")
-    return targets.withColumn("_n", tail).withColumn(name, F.concat(name, "_n")).drop("_n")
+    return targets.withColumn("_n", tail).withColumn("name", F.concat(given, "_n")).drop("_n")

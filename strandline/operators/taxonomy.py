@@ -10,30 +10,33 @@ from ..functions.ranks import N_RANKS, NONE, ROOT
 from ..stored import stored
 
 
-def full_lineages(taxa: DataFrame, max_depth: int = 64) -> DataFrame:
+def full_lineages(taxa: DataFrame, known_depth: int | None = None) -> DataFrame:
     """(id, depth, ancestor, rank): each taxon at depth 0 and all its ancestors; stops at a missing node or one that is its own parent.
 
-    By doubling: a pass joins paths of up to d steps with paths of up to d, so log2(depth) passes reach the root.
+    By doubling: a pass joins paths of up to d steps with paths of up to d, so log2(depth) passes reach the root; passes go
+    on until none is longer. A caller who knows that no path has over known_depth steps saves the looking. A cycle is an error.
     """
     taxa = taxa.where("id is not null")
     own = taxa.select("id", F.lit(0).alias("depth"), F.col("id").alias("ancestor"))
     step = taxa.where("parent is not null and parent <> id").join(taxa.select(F.col("id").alias("_p")), F.col("parent") == F.col("_p")).select("id", F.lit(1).alias("depth"), F.col("parent").alias("ancestor"))
     paths, reach = own.union(step), 1
-    while reach < max_depth:
-        far = paths.where(F.col("depth") == reach).select(F.col("id").alias("_i"), F.col("ancestor").alias("_a"))
-        more = far.join(paths.where("depth > 0"), F.col("_a") == F.col("id")).select(F.col("_i").alias("id"), (F.col("depth") + reach).alias("depth"), "ancestor")
-        paths, reach = paths.union(more), reach * 2
-        if reach >= 8 and reach < max_depth:  # the plan would double with each pass
+    while known_depth is None or reach < known_depth:
+        if known_depth is None and reach >= 8:  # the plan would double with each pass
             paths = stored(paths, "paths")
             if paths.where(F.col("depth") == reach).isEmpty():
                 break
+            if reach > taxa.count():
+                raise ValueError("the taxonomy has a cycle")
+        far = paths.where(F.col("depth") == reach).select(F.col("id").alias("_i"), F.col("ancestor").alias("_a"))
+        more = far.join(paths.where("depth > 0"), F.col("_a") == F.col("id")).select(F.col("_i").alias("id"), (F.col("depth") + reach).alias("depth"), "ancestor")
+        paths, reach = paths.union(more), reach * 2
     rank = taxa.select(F.col("id").alias("_r"), "rank")
     return paths.join(rank, F.col("ancestor") == F.col("_r")).select("id", "depth", "ancestor", "rank")
 
 
-def ranked_lineages(taxa: DataFrame, max_depth: int = 64) -> DataFrame:
+def ranked_lineages(taxa: DataFrame, known_depth: int | None = None) -> DataFrame:
     """(id, lineage): an array by rank of the taxon or ancestor of that rank, null where there is none; of two, that nearest the root."""
-    paths = full_lineages(taxa, max_depth).where(F.col("rank") < N_RANKS)
+    paths = full_lineages(taxa, known_depth).where(F.col("rank") < N_RANKS)
     per = paths.groupBy("id", "rank").agg(F.max(F.struct("depth", "ancestor")).alias("x")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x.ancestor"))).alias("m"))
     empty = F.create_map().cast("map<int,bigint>")
     slots = F.transform(F.sequence(F.lit(0), F.lit(N_RANKS - 1)), lambda r: F.try_element_at(F.coalesce("m", empty), r))

@@ -48,9 +48,9 @@ class ClassifyOptions:
 
     def normalised(self, sketch_size: int) -> ClassifyOptions:
         """Fractions over 1 are percent; no hits_min means one by sketch size; no candidate limit is none; ranks in order."""
-        part = lambda x: x / 100 if x >= 1 else max(0.0, x)
+        part = lambda x: x / 100 if x > 1 else max(0.0, x)
         least = self.hits_min or (sketch_size // 3 if sketch_size >= 6 else 2 if sketch_size >= 4 else 1)
-        return replace(self, hits_min=least, hits_diff=part(self.hits_diff) if self.hits_diff != 1.0 else 1.0, cov_percentile=part(self.cov_percentile), max_candidates=self.max_candidates or 2**31 - 1, lowest=min(self.lowest, self.highest), highest=min(self.highest, ROOT))
+        return replace(self, hits_min=least, hits_diff=part(self.hits_diff), cov_percentile=part(self.cov_percentile), max_candidates=self.max_candidates or 2**31 - 1, lowest=min(self.lowest, self.highest), highest=min(self.highest, ROOT))
 
 
 @dataclass(frozen=True)
@@ -79,13 +79,21 @@ class FormatOptions:
     all_hits: bool = False
     locations: bool = False
     ground_truth: bool = False
+    lowest: int = SEQUENCE
+    highest: int = 19
 
     def normalised(self) -> FormatOptions:
-        """Separators may be written as \\t; other control characters go. Top hits without a map ask for mapped reads only."""
+        """Separators may be written as \\t; other control characters go. Top hits without a map ask for mapped reads only, all hits for all reads."""
         sep = "".join(c for c in self.separator.replace("\\t", "\t") if c not in "\n\v\r\a")
-        view = "mapped" if self.top_hits and self.map_view == "none" else self.map_view
+        view = "mapped" if self.top_hits and self.map_view == "none" else "all" if self.all_hits else self.map_view
         return replace(self, separator=sep, map_view=view)
 
+    @property
+    def tokens(self) -> tuple[str, str, str, str]:
+        """What stands after a rank, between taxa, and around a taxid that follows a name."""
+        s = self.separator
+        return (s, s, s, "") if self.separate_cols else (":", ",", "(", ")")
+
 
 @dataclass(frozen=True)
 class MergeOptions:

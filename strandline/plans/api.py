@@ -14,12 +14,13 @@ from ..options import BuildOptions, MergeOptions, QueryOptions
 from ..sources.database import Index
 from ..sources.sequences import filter_reads
 from ..sources.taxonomy_files import assign_parents, first_parent, numbered_targets, target_id
+from ..stored import stored
 
 
 def make_targets(sequences: DataFrame, options: BuildOptions, offset: int = 0, sequence_map: DataFrame | None = None, file_map: DataFrame | None = None, accessions: DataFrame | None = None) -> DataFrame:
-    """(tgt, id, name, parent, file, index, windows, seq) of sequences (file, index, header, seq), numbered by file and place.
+    """(tgt, id, name, given, parent, file, index, windows, seq) of sequences (file, index, header, seq), numbered by file and place.
 
-    A name that repeats gets a suffix. The parent is that of the file, of the sequence in a map, or in the header; then, where
+    A name that repeats gets a suffix; `given` is as it was. The parent is that of the file, of the sequence in a map, or in the header; then, where
     there is none (for all with reset_taxa), that by the accession tables.
     """
     s = options.sketch
@@ -38,8 +39,8 @@ def make_targets(sequences: DataFrame, options: BuildOptions, offset: int = 0, s
     full = F.floor((n - s.window) / step) + 1
     # The tail counts if it has a k-mer.
     count = F.when(n < s.k, 0).when(n <= s.window, 1).otherwise(full + (n - full * step >= s.k).cast("int"))
-    rows = rows.select("tgt", target_id(F.col("tgt")).alias("id"), "name", F.coalesce("parent", F.lit(0)).cast("bigint").alias("parent"), "file", "index", count.cast("bigint").alias("windows"), "seq")
-    return index.unique_names(rows)
+    rows = rows.select("tgt", target_id(F.col("tgt")).alias("id"), "name", F.col("name").alias("given"), F.coalesce("parent", F.lit(0)).cast("bigint").alias("parent"), "file", "index", count.cast("bigint").alias("windows"), "seq")
+    return index.unique_names(rows, "given")
 
 
 def all_lineages(taxa: DataFrame, targets: DataFrame) -> DataFrame:
@@ -51,8 +52,8 @@ def all_lineages(taxa: DataFrame, targets: DataFrame) -> DataFrame:
 def build_index(sequences: DataFrame, taxa: DataFrame, options: BuildOptions | None = None, **maps: DataFrame) -> Index:
     """An index of sequences (file, index, header, seq) under taxa (id, parent, name, rank)."""
     options = options or BuildOptions()
-    targets = make_targets(sequences, options, **maps)
-    features = index.build(sketch.sketch(targets, "tgt", "seq", options.sketch), targets, options.max_locations)
+    targets = stored(make_targets(sequences, options, **maps), "targets")  # files are read once
+    features = index.build(sketch.sketch(targets, "tgt", "seq", options.sketch), options.max_locations)
     lines = all_lineages(taxa, targets)
     out = Index(features, taxa, targets.drop("seq"), lines, options.sketch, options.max_locations)
     return clean_index(out, options)
@@ -70,9 +71,9 @@ def modify_index(old: Index, sequences: DataFrame, options: BuildOptions | None
     """An index with more targets, numbered after those it has."""
     options = replace(options or BuildOptions(), sketch=old.sketch, max_locations=old.max_locations)
     last = old.targets.agg(F.max("tgt")).first()[0]
-    new = make_targets(sequences, options, offset=0 if last is None else last + 1, **maps)
+    new = stored(make_targets(sequences, options, offset=0 if last is None else last + 1, **maps), "targets")
     features = index.add(old.features, sketch.sketch(new, "tgt", "seq", old.sketch).select("feature", F.col("owner").alias("tgt"), "win"), old.max_locations)
-    targets = index.unique_names(old.targets.unionByName(new.drop("seq")))
+    targets = index.unique_names(old.targets.unionByName(new.drop("seq")), "given")
     return clean_index(Index(features, old.taxa, targets, all_lineages(old.taxa, targets), old.sketch, old.max_locations), options)
 
 
@@ -80,6 +81,11 @@ def replace_taxonomy(old: Index, taxa: DataFrame) -> Index:
     return replace(old, taxa=taxa, lineages=all_lineages(taxa, old.targets))
 
 
+def held(db: Index) -> Index:
+    """The index with its tables worked out and stored, to be queried without being saved."""
+    return replace(db, **{n: stored(getattr(db, n), n) for n in ("features", "taxa", "targets", "lineages")})
+
+
 @dataclass
 class Answer:
     """What a query found; each is a DataFrame, and is worked out when it is used."""
@@ -96,12 +102,14 @@ def all_taxa(db: Index) -> DataFrame:
     return db.taxa.select("id", "parent", "name", "rank").union(db.targets.select("id", "parent", "name", F.lit(SEQUENCE).alias("rank")))
 
 
-def query(db: Index, reads: DataFrame, options: QueryOptions | None = None) -> Answer:
-    """Classifies reads (query_id, header, seq1, seq2, file) by an index."""
+def query(db: Index, reads: DataFrame, options: QueryOptions | None = None, store_reads: bool = True) -> Answer:
+    """Classifies reads (query_id, header, seq1, seq2, file) by an index. Reads are stored, as each output goes back to them; not so where they are stored already."""
     options = options or QueryOptions()
     own = options.sketch or replace(db.sketch, stride=None)
     c = options.classify.normalised(own.size)
     reads = filter_reads(reads, options.min_length, options.max_length, options.limit)
+    if store_reads:
+        reads = stored(reads, "reads")
     features = db.features
     if options.max_locations:
         features = index.remove_overpopulated(features, index.query_limit(options.max_locations, db.max_locations))
@@ -118,9 +126,18 @@ def query(db: Index, reads: DataFrame, options: QueryOptions | None = None) -> A
 
 def evaluation(db: Index, answer: Answer) -> DataFrame:
     """Statistics per rank of an answer against the truth in its reads' headers."""
+    return evaluate.rank_statistics(evaluate.correct_ranks(_with_truth(db, answer), db.lineages))
+
+
+def _with_truth(db: Index, answer: Answer) -> DataFrame:
     truth = classify.ground_truth(answer.reads, db.targets, db.taxa, db.lineages)
-    both = truth.join(answer.classified.select("query_id", "tax"), "query_id", "left")
-    return evaluate.rank_statistics(evaluate.correct_ranks(both, db.lineages))
+    return truth.join(answer.classified.select("query_id", "tax"), "query_id", "left")
+
+
+def coverage(db: Index, answer: Answer) -> DataFrame:
+    """Per rank, whether the truth's taxa are in the index against whether reads were assigned there, with rates."""
+    covered = taxonomy.targets_below(db.target_lineages).select("tax")
+    return evaluate.confusion_rates(evaluate.coverage_statistics(_with_truth(db, answer), db.lineages, covered))
 
 
 def merge_results(found: DataFrame, taxa: DataFrame, options: MergeOptions | None = None) -> DataFrame:

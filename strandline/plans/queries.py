@@ -112,7 +112,7 @@ _PIPE = ", ".join([_DOCS, _ITEMS, _INDEX, _HITS, _RANGES, _TOP])
 
 def _hits(spark, d):
     reads = _reads(spark, d)
-    idx = index.build(sketch.sketch(_targets(spark, d), "tgt", "seq", OPTIONS), None)
+    idx = index.build(sketch.sketch(_targets(spark, d), "tgt", "seq", OPTIONS))
     return reads, candidates.hits(sketch.sketch_pairs(reads, OPTIONS), idx)
 
 
@@ -140,7 +140,7 @@ def sketch_read_pairs(spark, d):
 
 @registered(f"WITH {_DOCS}, {_INDEX} SELECT feature, tgt, win FROM idx")
 def index_build(spark, d):
-    return index.build(sketch.sketch(_targets(spark, d), "tgt", "seq", OPTIONS), None)
+    return index.build(sketch.sketch(_targets(spark, d), "tgt", "seq", OPTIONS))
 
 
 @registered(f"WITH {', '.join([_DOCS, _ITEMS, _INDEX, _HITS])} SELECT query_id, tgt, win, n FROM hits")
@@ -175,12 +175,13 @@ def taxon_counts(spark, d):
 
 
 @registered(f"""WITH {_PIPE}, {_TAX}, {_CLASSIFIED}, tot AS (SELECT count(*) AS t FROM benchmark), c AS (SELECT tax, rank, count(*)::DOUBLE AS n FROM clr WHERE tax IS NOT NULL GROUP BY tax, rank)
-SELECT rank, CASE WHEN rank = 0 THEN 'D_' || lpad(CAST(-tax - 1 AS VARCHAR), 6, '0') WHEN rank = 4 THEN (SELECT lang || '/' || source FROM tx WHERE species = tax) ELSE (SELECT any_value(lang) FROM tx WHERE genus = tax) END AS name,
+SELECT 21 AS rank, 'unclassified' AS name, CAST(0 AS BIGINT) AS taxid, CAST(t - (SELECT coalesce(sum(n), 0) FROM c) AS DOUBLE) AS n, 100 * (t - (SELECT coalesce(sum(n), 0) FROM c)) / t AS pct FROM tot UNION ALL SELECT rank, CASE WHEN rank = 0 THEN 'D_' || lpad(CAST(-tax - 1 AS VARCHAR), 6, '0') WHEN rank = 4 THEN (SELECT lang || '/' || source FROM tx WHERE species = tax) ELSE (SELECT any_value(lang) FROM tx WHERE genus = tax) END AS name,
 CASE WHEN rank = 0 THEN (SELECT species FROM tl WHERE tl.id = tax) ELSE tax END AS taxid, n, 100 * n / t AS pct FROM c, tot""")
 def abundance_table(spark, d):
     taxa, rows = _taxa(spark, d)
     t = _targets(spark, d).join(rows, ["lang", "source"]).select("id", F.col("species").alias("parent"), "name", F.lit(0).alias("rank"))
-    return abundance.abundance_table(abundance.taxon_counts(_classified(spark, d)), taxa.union(t), _reads(spark, d).agg(F.count("*").alias("total")))
+    found = _classified(spark, d)
+    return abundance.abundance_table(abundance.taxon_counts(found), taxa.union(t), abundance.totals(_reads(spark, d), found))
 
 
 @registered(f"""WITH {_PIPE}, {_TAX}, {_CLASSIFIED}, u AS (SELECT CASE WHEN rank = 0 THEN (SELECT species FROM tl WHERE tl.id = tax) ELSE tax END AS t, count(*)::DOUBLE AS n FROM clr WHERE tax IS NOT NULL GROUP BY 1), p AS (SELECT t, n, (SELECT any_value(genus) FROM tx WHERE species = t) AS g FROM u), w AS (SELECT g, sum(n) AS w FROM p WHERE g IS NOT NULL GROUP BY g)
@@ -203,7 +204,7 @@ def coverage_filter(spark, d):
     return candidates.coverage_filter(candidates.top_candidates(_ranges(spark, d), 2), targets, 0.5)
 
 
-@registered(f"""WITH {_PIPE} SELECT tgt, string_agg(query_id || '/' || beg || '-' || "end" || ':' || hits, ',' ORDER BY beg, "end", query_id, hits) AS matches FROM top GROUP BY tgt""")
+@registered(f"""WITH {_PIPE} SELECT tgt, string_agg(query_id || '/' || beg || '+' || ("end" - beg) || ':' || hits, ',' ORDER BY beg, "end", query_id, hits) AS matches FROM top GROUP BY tgt""")
 def hits_per_target(spark, d):
     return candidates.hits_per_target(candidates.top_candidates(_ranges(spark, d), 2))
 
@@ -259,6 +260,52 @@ def coverage_statistics(spark, d):
     return evaluate.coverage_statistics(both, lines, taxonomy.targets_below(lines.where("id < 0")).select("tax"))
 
 
+# The same with an index of even documents only: truths outside of it are false positives or true negatives.
+@registered(f"""WITH {_PIPE}, {_TAX}, {_CLASSIFIED}, cov AS (SELECT * FROM tl WHERE tgt % 2 = 0), v AS (SELECT t.*, coalesce(c.rank, 21) AS a FROM benchmark b JOIN tl t ON t.tgt = b.item_id LEFT JOIN clr c ON c.query_id = b.item_id),
+r AS (SELECT 0 AS rank, a <= 0 AS hit, id IN (SELECT id FROM cov) AS inside FROM v UNION ALL SELECT 4, a <= 4, species IN (SELECT species FROM cov) FROM v UNION ALL SELECT 6, a <= 6, genus IN (SELECT genus FROM cov) FROM v UNION ALL SELECT 20, a <= 20, true FROM v),
+s AS (SELECT rank, CAST(count(*) FILTER (WHERE hit AND inside) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE hit AND NOT inside) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE NOT hit AND NOT inside) AS BIGINT) AS tn, CAST(count(*) FILTER (WHERE NOT hit AND inside) AS BIGINT) AS fn FROM r GROUP BY rank)
+SELECT CAST(rank AS INTEGER) AS rank, tp, fp, tn, fn, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS sensitivity, round(coalesce(tn / nullif(tn + fp, 0), 0), 9) AS specificity, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round((tp + tn) / (tp + fp + tn + fn), 9) AS accuracy FROM s""")
+def coverage_rates(spark, d):
+    _, lines, _ = _lineages(spark, d)
+    t = _targets(spark, d).select("id", "name")
+    truth = classify.ground_truth(_reads(spark, d), t, t.select("id"), lines)
+    both = truth.join(_classified(spark, d).select("query_id", "tax"), "query_id", "left")
+    covered = taxonomy.targets_below(lines.where("id < 0 and pmod(id, 2) = 1")).select("tax")
+    out = evaluate.confusion_rates(evaluate.coverage_statistics(both, lines, covered))
+    return out.select("rank", "tp", "fp", "tn", "fn", *[F.round(c, 9).alias(c) for c in ("sensitivity", "specificity", "precision", "accuracy")])
+
+
+_RANK_ROWS = ", ".join(f"('{n}', {i})" for i, n in enumerate(ranks.RANKS[:7]))
+
+
+@registered(f"""WITH {_PIPE}, {_TAX}, {_CLASSIFIED}, rn(rname, r) AS (VALUES {_RANK_ROWS}), sp AS (SELECT DISTINCT species, genus, lang, source FROM tx),
+k AS (SELECT query_id, tax, c.rank, CASE WHEN c.rank = 0 THEN t.species WHEN c.rank = 4 THEN tax END AS s, coalesce(t.genus, sp.genus, CASE WHEN c.rank = 6 THEN tax END) AS g FROM clr c LEFT JOIN tl t ON t.id = tax LEFT JOIN sp ON sp.species = tax WHERE tax IS NOT NULL),
+x AS (SELECT query_id, r, rname || ':' || CASE WHEN r = 0 THEN 'D_' || lpad(CAST(-tax - 1 AS VARCHAR), 6, '0') || '(' || tax || ')' WHEN r = 4 THEN (SELECT lang || '/' || source FROM sp WHERE species = s) || '(' || s || ')' WHEN r = 6 THEN (SELECT any_value(lang) FROM sp WHERE genus = g) || '(' || g || ')' ELSE '--(0)' END AS t FROM k JOIN rn ON r >= k.rank),
+y AS (SELECT query_id, string_agg(t, ',' ORDER BY r) AS taxon FROM x GROUP BY query_id), l AS (SELECT query_id, string_agg('[' || 112 * beg || ',' || (112 * "end" + 127) || ']', ' ' ORDER BY pos) AS l FROM top GROUP BY query_id)
+SELECT b.item_id AS query_id, 'D_' || lpad(CAST(b.item_id AS VARCHAR), 6, '0') AS header, coalesce(l, '') AS candidate_locations, coalesce(taxon, '--') AS taxon FROM benchmark b LEFT JOIN y ON y.query_id = b.item_id LEFT JOIN l ON l.query_id = b.item_id""")
+def mapping_with_lineages(spark, d):
+    taxa, lines, _ = _lineages(spark, d)
+    nodes = taxa.select("id", "name", "rank").union(_targets(spark, d).select("id", "name", F.lit(0).alias("rank")))
+    spans = report.locations(candidates.top_candidates(_ranges(spark, d), 2), OPTIONS.window, OPTIONS.step)
+    return report.mapping(_reads(spark, d), _classified(spark, d), nodes, FormatOptions(lineage=True, taxids=True, highest=ranks.GENUS), spans=spans, lineages=lines)
+
+
+@registered(f"""WITH {_PIPE}, {_TAX}, win AS (SELECT doc_id AS tgt, length(s) AS windows FROM docs), m AS (SELECT tgt, string_agg(query_id || '/' || beg || '+' || ("end" - beg) || ':' || hits, ',' ORDER BY beg, "end", query_id, hits) AS matches FROM top GROUP BY tgt)
+SELECT 'sequence:D_' || lpad(CAST(tgt AS VARCHAR), 6, '0') || ',form:--,variety:--,subspecies:--,species:' || lang || '/' || source AS sequence, windows AS windows_in_sequence, matches FROM m JOIN win USING (tgt) JOIN tl USING (tgt) JOIN tx USING (species, genus)""")
+def hits_per_target_with_lineages(spark, d):
+    taxa, lines, _ = _lineages(spark, d)
+    targets = _targets(spark, d).select("tgt", "id", "name", F.length("seq").cast("bigint").alias("windows"))
+    nodes = taxa.select("id", "name", "rank").union(targets.select("id", "name", F.lit(0).alias("rank")))
+    text = report.taxon_lines(nodes, lines, FormatOptions(lineage=True, highest=ranks.SPECIES))
+    return report.hits_per_target(candidates.hits_per_target(candidates.top_candidates(_ranges(spark, d), 2)), targets, text)
+
+
+@registered(f"""WITH {', '.join([_DOCS, _ITEMS, _INDEX, _HITS])}, {_TAX}, n AS (SELECT query_id, tgt, win, n, lang || '/' || source AS a FROM hits JOIN tl USING (tgt) JOIN tx USING (species, genus)) SELECT query_id, string_agg(a || ':' || n, ',' ORDER BY tgt, win) AS all_hits FROM n GROUP BY query_id""")
+def all_hits_by_species(spark, d):
+    taxa, _, lines = _lineages(spark, d)
+    return report.all_hits(_hits(spark, d)[1], _targets(spark, d), report.ancestor_names(lines, taxa, ranks.SPECIES))
+
+
 @registered(f"""WITH {_TAX} SELECT tgt, id, 'D_' || lpad(CAST(tgt AS VARCHAR), 6, '0') AS name, species, genus, 1 AS root FROM tl""")
 def target_lineages(spark, d):
     lines = _lineages(spark, d)[2]

@@ -50,10 +50,9 @@ def summarise_results(spark: SparkSession, *paths: str, rank: str = "species") -
     return lines.groupBy("file").agg(number("unclassified").alias("unclassified"), number("classified").alias("classified"), at("precision").alias("precision"), at("sensitivity").alias("sensitivity"))
 
 
-def summary_lines(ranks: DataFrame, options: FormatOptions) -> DataFrame:
-    """Statistics of main ranks as comment lines: `rank precision: 12.3 %` and so on."""
-    from ..plans.report import summary
+def summary_lines(ranks: DataFrame, options: FormatOptions, paired: bool = False, coverage: DataFrame | None = None) -> DataFrame:
+    """A summary's comment lines, in order: `species precision: 12.3%` and so on."""
+    from ..plans.report import summary_table
 
-    c = options.comment
-    rows = summary(ranks).select(F.explode(F.array(*[F.concat(F.lit(c), F.col("name"), F.lit(f" {k}: "), F.round(100 * F.col(v), 4).cast("string"), F.lit(" %")) for k, v in (("classified", "assigned_rate"), ("sensitivity", "sensitivity"), ("precision", "precision"))])).alias("value"))
-    return rows
+    rows = summary_table(ranks, paired, coverage).repartition(1).sortWithinPartitions("place")  # a few lines for each rank
+    return rows.select(F.concat(F.lit(options.comment), "line").alias("value"))

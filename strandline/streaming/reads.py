@@ -19,6 +19,6 @@ def classify_stream(db: Index, reads: DataFrame, sink: Callable[[DataFrame, int]
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        sink(query(db, batch, options).classified, epoch)
+        sink(query(db, batch, options, store_reads=False).classified, epoch)
 
     return reads.writeStream.foreachBatch(step)

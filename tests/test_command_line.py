@@ -24,9 +24,9 @@ def test_modes(spark, tmp_path, capsys):
     main(["query", db, str(tmp_path / "r.fa"), "--out", out, "--tophits", "--allhits", "--queryids", "--hits-per-ref", "--abundances", "--abundance-per", "species", "--precision", "--ground-truth", "--align"], spark)
     lines = [r[0] for r in spark.read.text(f"{out}/mapping").collect()]
     assert sum("sequence:NC_" in x for x in lines) == 3 and any("TABLE_LAYOUT" in x for x in lines)
-    assert spark.read.text(f"{out}/abundances").count() == 3 and spark.read.text(f"{out}/hits_per_ref").count() == 3
+    assert spark.read.text(f"{out}/abundances").count() == 4 and spark.read.text(f"{out}/hits_per_ref").count() == 3
     assert [r["score"] for r in spark.read.parquet(f"{out}/alignments").collect()] == [400] * 3
-    assert any("species precision: 100.0 %" in r[0] for r in spark.read.text(f"{out}/statistics").collect())
+    assert any("species precision: 100.0%" in r[0] for r in spark.read.text(f"{out}/statistics").collect())
     for n in "12":
         main(["query", db, str(tmp_path / "r.fa"), "--out", f"{out}{n}", "--tophits", "--queryids", "--lowest", "species"], spark)
     merged = [f"{out}{n}.txt" for n in "12"]
@@ -38,7 +38,15 @@ def test_modes(spark, tmp_path, capsys):
     assert sum("species:name" in r[0] for r in spark.read.text(f"{out}m/mapping").collect()) == 3
     main(["query", db, str(tmp_path / "r.fa"), "--out", f"{out}3", "--split-out"], spark)
     assert (tmp_path / "out3/mapping/source=r.fa").is_dir()
-    for what in ("config", "targets", "rank", "statistics", "locations", "featurecounts"):
+    main(["query", db, str(tmp_path / "r.fa"), "--out", f"{out}4", "--lineage", "--taxids", "--locations", "--taxon-coverage", "--lowest", "species", "--highest", "genus", "--hits-per-ref", "--separate-cols"], spark)
+    lines = [r[0] for r in spark.read.text(f"{out}4/mapping").collect() if not r[0].startswith("#")]
+    assert sorted(x.split("\t|\t")[3:6] for x in lines)[0] == ["species", "name5", "5"] and all("genus\t|\tname2\t|\t2" in x and "\t|\t[" in x for x in lines)
+    assert spark.read.parquet(f"{out}4/taxon_coverage").where("rank = 4").first()["tp"] == 3
+    assert any("sequence\t|\tNC_000000.1\t|\t-1" in r[0] and r[0].count("\t|\t") > 12 for r in spark.read.text(f"{out}4/hits_per_ref").collect())
+    main(["build+query", str(tmp_path / "r.fa"), "--targets", str(tmp_path / "g"), "--taxonomy", str(tmp_path / "tax"), "--out", f"{out}5", "--tophits"], spark)
+    assert sum("sequence:NC_" in r[0] for r in spark.read.text(f"{out}5/mapping").collect()) == 3
+    assert any("queries: 3" in r[0] for r in spark.read.text(f"{out}5/statistics").collect()) and spark.read.text(f"{out}5/parameters").count() > 10
+    for what in ("config", "targets", "lineages", "rank", "statistics", "locations", "featurecounts"):
         main(["info", db, what], spark)
     assert "NC_000002.1" in capsys.readouterr().out
     with pytest.raises(SystemExit):

@@ -196,6 +196,53 @@ def test_full_lineage_doubling(spark):
     assert got == {(i, d, i - d) for i in range(1, 40) for d in range(i)}
 
 
+def test_deep_lineages_and_cycles(spark):
+    chain = spark.createDataFrame([(i, max(1, i - 1), {1: 20, 150: 4}.get(i, 21)) for i in range(1, 151)], "id bigint, parent bigint, rank int")
+    line = next(r["lineage"] for r in taxonomy.ranked_lineages(chain).collect() if r["id"] == 150)
+    assert line[20] == 1 and line[4] == 150
+    with pytest.raises(ValueError, match="cycle"):
+        taxonomy.full_lineages(spark.createDataFrame([(i, i % 9 + 1, 21) for i in range(1, 10)], "id bigint, parent bigint, rank int"))
+
+
+@pytest.mark.parametrize(("given", "want"), [(0, 0), (0.5, 0.5), (1, 1), (50, 0.5), (100, 1), (-1, 0)])
+def test_fractions_over_one_are_percent(given, want):
+    c = ClassifyOptions(cov_percentile=given, hits_diff=given).normalised(16)
+    assert (c.cov_percentile, c.hits_diff) == (want, want)
+
+
+def test_lineage_text(spark, taxa):
+    """Ranks from the taxon's or the lowest on; missing ones are blank, and unclassified reads are one sign or blanks for all columns."""
+    lines = taxonomy.ranked_lineages(taxa)
+    text = lambda **o: {r["id"]: r["text"] for r in report.taxon_lines(taxa, lines, FormatOptions(**o)).collect()}
+    assert text(lineage=True, lowest=4, highest=6)[20] == "species:s1,subgenus:--,genus:g1"
+    assert text(lineage=True, taxids=True, omit_ranks=True, lowest=5, highest=6)[20] == "--(0),g1(10)"
+    assert text(taxids_only=True, lowest=6)[20] == "genus:10" and text(highest=6).get(2) is None
+    assert text(separate_cols=True, taxids=True, separator="|")[20] == "species|s1|20"
+    assert report.no_taxon(FormatOptions()) == "--" and report.no_taxon(FormatOptions(taxids_only=True, omit_ranks=True)) == "0"
+    assert report.no_taxon(FormatOptions(separate_cols=True, separator="|", lineage=True, taxids=True, lowest=5, highest=6)) == "--|--|0|--|--|0"
+
+
+def test_abundance_table_has_unclassified(spark, taxa):
+    reads = spark.range(1, 11).withColumnRenamed("id", "query_id")
+    classified = spark.createDataFrame([(1, 20), (2, 20), (3, 10), (4, None)], "query_id bigint, tax bigint")
+    table = abundance.abundance_table(abundance.taxon_counts(classified), taxa, abundance.totals(reads, classified))
+    assert sorted((r["name"], r["taxid"], r["n"], r["pct"]) for r in table.collect()) == [("g1", 10, 1.0, 10.0), ("s1", 20, 2.0, 20.0), ("unclassified", 0, 7.0, 70.0)]
+
+
+def test_names_stay_apart(spark):
+    """A third equal name, added later, gets both numbers."""
+    rows = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y"), (3, "x")], "tgt bigint, given string")
+    assert [r["name"] for r in index.unique_names(rows, "given").orderBy("tgt").collect()] == ["x", "x!1", "y", "x!1!2"]
+
+
+def test_alignment_of_sequences_only(spark):
+    c = spark.createDataFrame([(1, 1, -1, 0, 0, 0), (2, 1, 7, 0, 0, 0), (3, 1, -1, 0, 0, 0)], "query_id bigint, pos int, tax bigint, tgt bigint, beg bigint, end bigint")
+    reads = spark.createDataFrame([(i, "ACGTACGT", None) for i in (1, 2, 3)], "query_id bigint, seq1 string, seq2 string")
+    found = spark.createDataFrame([(1, -1), (2, 7), (3, None)], "query_id bigint, tax bigint")
+    out = align.alignments(c, reads, spark.createDataFrame([(0, "ACGTACGTTT")], "tgt bigint, seq string"), 10, 5, found).collect()
+    assert [r["query_id"] for r in out] == [1]
+
+
 def test_merged_ids(spark, taxa):
     merged = spark.createDataFrame([(20, 22), (77, 10)], "old_id bigint, new_id bigint")
     got = {r["id"]: (r["parent"], r["rank"]) for r in taxonomy.resolve_merged(taxa, merged).collect()}
@@ -374,6 +421,11 @@ def test_build_query_modify(spark, taxa, genomes, tmp_path):
     assert report.target_info(loaded).count() == 5 and report.properties(loaded).count() == 6
     aligned = align.alignments(answer.candidates, reads, seqs.select((F.regexp_extract("file", "g([0-9])", 1).cast("bigint")).alias("tgt"), "seq"), 127, 112).collect()
     assert {r["query_id"]: r["score"] for r in aligned}[2] == 380
+    plan = loaded.features.join(spark.createDataFrame([(5,)], "feature bigint").repartition(4, "feature").hint("merge"), "feature")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the index stays where it is
+    twice = spark.createDataFrame([("z.fa", i, "NC_000000.1 taxid|22|", made[3], None) for i in (1, 2)], sequences.SCHEMA)
+    names = [r["name"] for r in api.modify_index(api.modify_index(loaded, twice.where("index = 1"), BuildOptions(sequence_id="ncbi")), twice.where("index = 2"), BuildOptions(sequence_id="ncbi")).targets.collect()]
+    assert {"NC_000000.1", "NC_000000.1!1", "NC_000000.1!1!2"} <= set(names)
     more = api.modify_index(loaded, spark.createDataFrame([("z.fa", 1, "NC_000000.1 taxid|22|", made[0][:1000], None)], sequences.SCHEMA), BuildOptions(sequence_id="ncbi"))
     assert sorted(r["name"] for r in more.targets.collect())[:2] == ["NC_000000.1", "NC_000000.1!1"]
     assert {r["query_id"]: r["tax"] for r in api.query(more, reads).classified.collect()}[1] == 2  # two targets of unlike genera
@@ -411,7 +463,7 @@ def test_merge(spark, taxa, tmp_path):
 
 
 def test_queries_match_sql(spark, data):
-    """Every registered query that has SQL gives the SQL's rows."""
+    """A sample of the registered queries that have SQL gives the SQL's rows."""
     duckdb = pytest.importorskip("duckdb")
     import os
 
@@ -420,7 +472,7 @@ def test_queries_match_sql(spark, data):
     con = duckdb.connect()
     for name in os.listdir(data):
         con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{data}/{name}'")
-    for name in ("sketch_documents", "classify_reads", "window_ranges", "index_bucket_statistics", "ranked_lca", "merged_results", "header_identifiers", "canonical_kmers"):
+    for name in ("sketch_documents", "classify_reads", "window_ranges", "index_bucket_statistics", "ranked_lca", "merged_results", "header_identifiers", "canonical_kmers", "abundance_table", "coverage_rates", "mapping_with_lineages", "hits_per_target_with_lineages", "all_hits_by_species", "all_window_ranges"):
         got = queries.QUERIES[name](spark, data)
         columns = sorted(got.columns)
         want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.ORACLES[name]}) t").fetchall()
