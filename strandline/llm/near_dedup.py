@@ -50,7 +50,7 @@ def _shared(n, lists_of: int, percent: int):
 
 
 def candidates(classes: DataFrame, lists_of: int, percent: int) -> DataFrame:
-    """(h, rep, n, sketch, keep): classes that share values with others, and the values under which they are listed.
+    """(h, rep, t, n, sketch, keep): classes that share values with others, and the values under which they are listed.
 
     Two documents that are alike have t of their least values in common. So each can leave out the t - 1 values that most
     documents have, in one order for all: the rarest common value stays in both. Values that nobody shares fall out first,
@@ -61,7 +61,7 @@ def candidates(classes: DataFrame, lists_of: int, percent: int) -> DataFrame:
     held = values.join(often, F.col("v") == F.col("_v")).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("x"))  # lists_of values at most
     rows = classes.join(held.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"))
     left = F.size("x") - _shared(F.col("n"), lists_of, percent) + 1
-    return rows.where(left > 0).select("h", "rep", "n", "sketch", F.transform(F.slice("x", 1, left), lambda e: e["v"]).alias("keep"))
+    return rows.where(left > 0).select("h", "rep", "t", "n", "sketch", F.transform(F.slice("x", 1, left), lambda e: e["v"]).alias("keep"))
 
 
 def _like(a: str, b: str, percent: int):
@@ -247,16 +247,17 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8,
     """
     store, percent = Store(docs.sparkSession), round(similarity * 100)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    whole = base.select("id", _set(F.col("text"), n_words).alias("s"))
-    rows = store.put(whole.select("id", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("h"), F.slice("s", 1, k).alias("sketch")), "sketches")
+    whole = base.select("id", F.xxhash64("text").alias("t"), _set(F.col("text"), n_words).alias("s"))
+    rows = store.put(whole.select("id", "t", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("h"), F.slice("s", 1, k).alias("sketch")), "sketches")
     real = rows.where("n > 0 and id is not null")
-    classes = store.put(real.groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = real.groupBy("h").agg(F.min(F.struct("id", "t")).alias("x"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = store.put(classes.select("h", F.col("x.id").alias("rep"), F.col("x.t").alias("t"), "n", "sketch"), "classes")
     found = store.put(candidates(classes, lists_of, percent), "candidates")
     lists = found.select("h", "rep", "n", F.explode("keep").alias("v"))
     # The one time that texts are moved: those of listed classes come out of it as sets.
-    own = found.select(F.col("rep").alias("_r"), F.col("h").alias("_h"))
-    sets = base.join(own.hint("merge"), F.col("id") == F.col("_r")).select(F.col("_h").alias("h"), _set(F.col("text"), n_words).alias("s"))
-    sets = store.put(sets.where(F.xxhash64("s") == F.col("h")), "sets")
+    own = found.select(F.col("rep").alias("_r"), F.col("t").alias("_t"), "h")
+    sets = base.join(own.hint("merge"), (F.col("id") == F.col("_r")) & (F.xxhash64("text") == F.col("_t")))
+    sets = store.put(sets.select("h", _set(F.col("text"), n_words).alias("s")), "sets")
     hubs = lists.groupBy("v").agg(F.min(F.struct("rep", "h")).alias("x"), F.count("*").alias("_m")).where("_m > 1").select(F.col("v").alias("_v"), F.col("x.h").alias("hub"))
     lists = lists.join(hubs, F.col("v") == F.col("_v")).drop("_v")
 
