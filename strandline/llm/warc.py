@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import zlib
 from collections.abc import Iterator
 
@@ -45,12 +44,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     The as-of join has two levels: a running maximum within a bucket of time of a URL, and the buckets' latest responses,
     pre-aggregated, carried on to later buckets; so a URL with a third of all captures is spread over its buckets. Only ids
-    and times are carried; headers are joined last. Records with a null url or time are never matched: such revisits are
-    orphans. Repeated rows stay repeated; of responses with the same id, the greatest by time and status counts.
+    and times are carried; headers are joined last. Records with a null url or time are never matched, and meet no other row:
+    such revisits are orphans. Extra columns are ignored. Repeated rows stay repeated; of responses with the same id, the greatest by time and status counts.
     """
     rows = records.select(F.col("record_id").cast("string").alias("record_id"), "type", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("bigint").alias("ts"), F.col("status").cast("int").alias("status"), "headers")
     rows = rows.withColumn("bucket", F.floor(F.col("ts") / BUCKET))
-    full = (F.col("type") == "response") & F.col("status").between(200, 299) & F.col("ts").isNotNull()
+    orphans = rows.where("type = 'revisit' and (url_key is null or ts is null)")
+    rows = rows.where("url_key is not null and ts is not null")
+    full = (F.col("type") == "response") & F.col("status").between(200, 299)
     mark = F.when(full, F.struct("ts", "record_id"))
     level = rows.select("record_id", "type", "url_key", "ts", "bucket", mark.alias("mark"), F.when(F.col("type") == "revisit", F.col("headers")).alias("headers"))
     within = Window.partitionBy("url_key", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
@@ -58,7 +59,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     before = Window.partitionBy("url_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = rows.groupBy("url_key", "bucket").agg(F.max(mark).alias("last")).select(F.col("url_key").alias("_u"), F.col("bucket").alias("_b"), F.max("last").over(before).alias("far"))
     level = level.join(buckets, (F.col("url_key") == F.col("_u")) & (F.col("bucket") == F.col("_b")), "left")
-    level = level.withColumn("found", F.when(F.col("url_key").isNotNull() & F.col("ts").isNotNull(), F.coalesce("near", "far")))
+    level = level.withColumn("found", F.coalesce("near", "far"))
     response = rows.where(full).groupBy(F.col("record_id").alias("_r"), F.col("url_key").alias("_ru"), F.col("ts").alias("_rt")).agg(F.max("status").alias("r_status"), F.max_by("headers", "status").alias("r_headers"))
     out = level.join(response, (F.col("found.record_id") == F.col("_r")) & (F.col("found.ts") == F.col("_rt")) & (F.col("url_key") == F.col("_ru")), "left")
     empty = F.create_map().cast("map<string,string>")
@@ -74,41 +75,101 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     update = F.map_filter(mine, lambda k, _: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(theirs, lambda k, _: ~F.array_contains(F.map_keys(update), k)), update)
     ok = F.col("verdict").isin("match", "unchecked")
-    return out.withColumn("verdict", verdict).select("record_id", "url_key", "ts", F.col("_r").alias("response_id"), "verdict", F.when(ok, F.col("r_status")).alias("status"), F.when(ok, merged).alias("headers"))
+    out = out.withColumn("verdict", verdict).select("record_id", "url_key", "ts", F.col("_r").alias("response_id"), "verdict", F.when(ok, F.col("r_status")).alias("status"), F.when(ok, merged).alias("headers"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return out.union(orphans.select("record_id", "url_key", "ts", nothing("string"), F.lit("orphan"), nothing("int"), nothing("map<string,string>")))
+
+
+#: Bytes that are unpacked at once.
+PIECE = 1 << 20
+
+
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The bytes of a file, plain or gzip of any number of members, piece by piece. What comes before damage is given; then BrokenGzip is raised."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), PIECE):
+            yield data[at : at + PIECE]
+        return
+    at, rest = 0, memoryview(data)
+    while at < len(rest):
+        member = zlib.decompressobj(wbits=31)
+        try:
+            while not member.eof:
+                piece = rest[at : at + PIECE]
+                if not len(piece):
+                    raise BrokenGzip("gzip: cut short")
+                out = member.decompress(piece)
+                at += len(piece) - len(member.unused_data)
+                if out:
+                    yield out
+        except zlib.error as e:
+            raise BrokenGzip(f"gzip: {e}") from None
+        while at < len(rest) and rest[at] == 0:  # padding
+            at += 1
+
+
+class BrokenGzip(ValueError):
+    pass
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzip, whole or a member a record. A broken record ends the file, with `error`."""
-    if data[:2] == b"\x1f\x8b":
+    """Records of a WARC file, plain or gzip, whole or a member a record. A broken record ends the file, with `error`; those before it are kept.
+
+    No more is held unpacked than a record and a piece.
+    """
+    pieces, held, at, total, broken = unpacked(data), bytearray(), 0, 0, None
+
+    def more() -> bool:
+        nonlocal broken
         try:
-            data = gzip.decompress(data)
-        except (OSError, EOFError, zlib.error) as e:
-            yield {"record_id": None, "error": f"gzip: {e}"}
-            return
-    at = 0
-    while at < len(data):
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
+            held.extend(next(pieces))
+        except StopIteration:
+            return False
+        except BrokenGzip as e:
+            broken = str(e)
+            return False
+        return True
+
+    while True:
+        if at:
+            total += at
+            del held[:at]
+            at = 0
+        while True:
+            while held[at : at + 2] == b"\r\n":
+                at += 2
+            if len(held) > at + 1 or not more():
+                break
+        if at >= len(held):
+            if broken:
+                yield {"record_id": None, "error": broken}
             return
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0 or not data.startswith(b"WARC/", at):
-            yield {"record_id": None, "error": f"no record at byte {at}"}
+        seen = at
+        while (head := held.find(b"\r\n\r\n", seen)) < 0 and held.startswith(b"WARC/"[: len(held) - at], at):
+            seen = max(at, len(held) - 3)
+            if not more():
+                break
+        if head < 0 or not held.startswith(b"WARC/", at):
+            yield {"record_id": None, "error": broken or f"no record at byte {total + at}"}
             return
-        fields = _headers(data[at:head].split(b"\r\n")[1:])
+        fields = _headers(bytes(held[at:head]).split(b"\r\n")[1:])
         try:
             size = int(fields.get("content-length", ""))
         except ValueError:
             yield {"record_id": fields.get("warc-record-id"), "error": "no length"}
             return
-        block = data[head + 4 : head + 4 + size]
+        while len(held) < head + 4 + size and more():
+            pass
+        block = bytes(held[head + 4 : head + 4 + size])
         at = head + 4 + size
-        out = {"record_id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "url": fields.get("warc-target-uri"), "ts": _seconds(fields.get("warc-date")), "status": None, "headers": None, "body": block, "error": None if len(block) == size else "cut short"}
+        out = {"record_id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "url": fields.get("warc-target-uri"), "ts": _seconds(fields.get("warc-date")), "status": None, "headers": None, "body": block, "error": None if len(block) == size else broken or "cut short"}
         if block.startswith(b"HTTP/") and (end := block.find(b"\r\n\r\n")) >= 0:
             lines = block[:end].split(b"\r\n")
             code = lines[0].split(b" ")[1:2]
             out |= {"status": int(code[0]) if code and code[0].isdigit() else None, "headers": _headers(lines[1:]), "body": block[end + 4 :]}
         yield out
+        if len(block) < size:
+            return
 
 
 def _headers(lines: list[bytes]) -> dict[str, str]:
@@ -132,14 +193,21 @@ def _seconds(date: str | None) -> int | None:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under path, one file a task at a time; broken ones have `error`."""
+    """The records of all WARC files under path; broken ones have `error`. A task holds one file, packed, and a record of it at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("ts", pa.int64()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary()), ("error", pa.string())])
         for batch in batches:
             for data in batch.column(0):
+                rows, size = [], 0
                 for record in parse(data.as_py()):
-                    yield pa.RecordBatch.from_pylist([record | {"headers": list((record.get("headers") or {}).items())}], schema=schema)
+                    rows.append(record | {"headers": list((record.get("headers") or {}).items())})
+                    size += len(record.get("body") or b"")
+                    if size > 1 << 24 or len(rows) >= 1024:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     ship(spark)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RECORD)

@@ -151,6 +151,14 @@ def test_revisits_hot_url_brute_force(spark):
         assert r["response_id"] == (max(before)[1] if before else None)
 
 
+def test_revisits_clashing_names_and_repeats(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("r", "response", "http://e.org/", 1, 200, {"etag": "1"}), ("v", "revisit", "http://e.org", 2, 304, {"etag": "1"}), ("v", "revisit", "http://e.org", 2, 304, {"etag": "1"}), ("o", "revisit", None, 2, 304, None)]
+    made = spark.createDataFrame(rows, RECORD).withColumns({n: F.lit("other") for n in ("bucket", "mark", "near", "found", "far", "url_key", "verdict", "_r", "r_status")})
+    assert sorted((r["record_id"], r["verdict"], r["response_id"]) for r in warc.resolve_revisits(made).collect()) == [("o", "orphan", None), ("v", "match", "r"), ("v", "match", "r")]
+
+
 def test_parse_warc(spark, tmp_path):
     http = b"HTTP/1.1 200 OK\r\nETag: \"1\"\r\nVary: a\r\nVary: b\r\n\r\n<p>hi</p>"
     def record(kind, n, block):
@@ -166,5 +174,14 @@ def test_parse_warc(spark, tmp_path):
     assert sorted(whole) == ["<u:1>", "<u:2>", "<u:3>", "<u:4>"]
     assert whole["<u:1>"]["headers"] == {"etag": '"1"', "vary": "a, b"} and bytes(whole["<u:1>"]["body"]) == b"<p>hi</p>"
     assert sum(bool(r["error"]) for r in got) == 2
+    # Of a file whose last member is cut, the records before it are kept; long ones are put together from pieces.
+    members = [gzip.compress(record("response", n, http + b"x" * n * warc.PIECE)) for n in range(5)]
+    for cut in (0, 5, len(members[4]) // 2, len(members[4])):
+        rows = list(warc.parse(b"".join(members[:4]) + members[4][:cut]))
+        whole = cut in (0, len(members[4]))
+        assert [r["record_id"] for r in rows if not r["error"]] == [f"<u:{n}>" for n in range(4 + (cut > 5 and whole))]
+        assert sum(bool(r["error"]) for r in rows) == (not whole) and all(len(r["body"]) == 9 + n * warc.PIECE for n, r in enumerate(rows) if not r["error"])
+    assert [len(r["body"]) for r in warc.parse(b"".join(map(gzip.decompress, members)))] == [9 + n * warc.PIECE for n in range(5)]
+    assert list(warc.parse(b"")) == []
     done = {r["record_id"]: r["verdict"] for r in warc.resolve_revisits(warc.read_warc(spark, str(tmp_path / "a.warc"))).collect()}
     assert done == {"<u:2>": "match"}
