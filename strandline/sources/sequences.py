@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
+from ..stored import stored
 
 SCHEMA = "file string, index bigint, header string, seq string, qual string"
 
@@ -19,72 +19,199 @@ class FormatError(ValueError):
     """A file that is neither FASTA nor FASTQ."""
 
 
-def records(data: bytes, name: str = "") -> Iterator[tuple[str, str, str | None]]:
-    """(header, sequence, qualities) of each record.
+class _Block:
+    """Records of the lines of a file, or of one of the blocks that it is split into.
 
     A line that starts with > or @ begins a record; what follows are data lines up to the next > or a + line, which is
-    skipped, and after which one line has the qualities. Empty lines and carriage returns at ends of lines don't count;
-    other lines before a header are skipped. A file whose first byte begins no record is no sequence file.
+    skipped, and after which one line has the qualities. Empty lines and carriage returns at ends of lines don't count.
+    A file whose first line begins no record is no sequence file.
+
+    A later block begins inside a record: lines before its first header (`lead`) belong to the block before. A header of
+    FASTQ is known by the + two lines on, which a quality line never has; in blocks without such, headers begin with >.
     """
-    if not data:
-        return
-    if data[:1] not in b">@":
-        raise FormatError(f"{name}: neither FASTA nor FASTQ")
-    lines = iter(data.split(b"\n"))
-    header, parts, quality = None, [], None
 
-    def done():
-        return header.decode("utf-8", "replace"), b"".join(parts).decode("utf-8", "replace"), quality
+    def __init__(self, name: str, start: int):
+        self.name, self.start, self.n = name, start, 0
+        self.header: bytes | None = None
+        self.parts: list[bytes] = []
+        self.quality: bytes | None = None
+        self.plus = self.open = False
+        self.lead: list[bytes] = []
+        self.first: list[bytes] | None = [] if start else None
+        self.begun = False
 
-    for line in lines:
+    def feed(self, line: bytes) -> Iterator[tuple[int, bytes, bytes, bytes | None]]:
+        """(number, header, sequence, qualities) of records that the line ends."""
         line = line.removesuffix(b"\r")
+        if self.first is not None:
+            self.first.append(line)
+            full = [x for x in self.first if x]
+            at = next((i for i, x in enumerate(full[:-2]) if x[:1] == b"@" and full[i + 2][:1] == b"+"), None)
+            if at is not None or len(full) >= 8:
+                yield from self._settle(full, at)
+            return
+        if not self.begun and self.header is None and not self.start:
+            if line[:1] not in (b">", b"@"):
+                raise FormatError(f"{self.name}: neither FASTA nor FASTQ")
+            self.begun = True
+        if self.open:
+            self.quality, self.open = line, False
+            return
         if not line:
-            continue
-        first = line[:1]
-        if first == b">" or first == b"@" and (header is None or quality is not None or not parts):
-            if header is not None:
-                yield done()
-            header, parts, quality = line[1:], [], None
-        elif header is None or quality is not None:
-            continue
-        elif first == b"+":
-            quality = next(lines, b"").removesuffix(b"\r").decode("utf-8", "replace")
-        else:
-            parts.append(line)
-    if header is not None:
-        yield done()
+            return
+        mark = line[:1]
+        if mark == b">" or mark == b"@" and (self.header is None and not self.lead or self.header is not None and (self.quality is not None or not self.parts)):
+            if self.header is not None:
+                yield self._done()
+            self.header, self.parts, self.quality, self.plus = line[1:], [], None, False
+            self.mark = mark
+        elif self.header is None:
+            self.lead.append(line)
+        elif self.quality is None:
+            if mark == b"+":
+                self.plus = self.open = True
+            else:
+                self.parts.append(line)
 
+    def _settle(self, full: list[bytes], at: int | None) -> Iterator[tuple]:
+        self.first = None
+        if at is None:
+            at = next((i for i, x in enumerate(full) if x[:1] == b">"), len(full))
+        self.lead, rest = [], full[at:]
+        lead = full[:at]
+        for line in rest:
+            yield from self.feed(line)
+        self.lead = lead + self.lead
 
-def read_sequences(spark: SparkSession, *paths: str, recursive: bool = True) -> DataFrame:
-    """(file, index, header, seq, qual) of all records of files, and of all files under folders; index counts from 1 in each file.
+    def _done(self) -> tuple:
+        self.n += 1
+        return self.n, self.header, b"".join(self.parts), self.quality
 
-    A task reads a file at a time; rows leave it in batches, so its memory is the file's text.
-    """
+    def finish(self) -> Iterator[tuple]:
+        """What is left: lines without any decision, then the last record."""
+        if self.first is not None:
+            yield from self._settle([x for x in self.first if x], None)
+
+    def last(self) -> tuple | None:
+        return self._done() if self.header is not None else None
+
+    def raw(self) -> bytes:
+        """The lines of the last record, which the next block may go on with."""
+        lines = [self.mark + self.header, *self.parts, *([b"+"] if self.plus else []), *([self.quality] if self.quality is not None else [])]
+        return b"\n".join(lines)
+
+
+def records(data: bytes, name: str = "") -> Iterator[tuple[str, str, str | None]]:
+    """(header, sequence, qualities) of each record of a file's bytes."""
+    if not data:
+        return
+    block = _Block(name, 0)
+    for line in data.split(b"\n"):
+        for _, *record in block.feed(line):
+            yield _text(record)
+    if (left := block.last()) is not None:
+        yield _text(left[1:])
+
+
+def _text(record) -> tuple[str, str, str | None]:
+    return tuple(None if x is None else x.decode("utf-8", "replace") for x in record)
+
+
+_ROWS = "file string, block bigint, index bigint, kind int, header string, seq string, qual string"
+#: Kinds of rows: lines before a block's first header, whole records, and the block's last record, as its lines.
+LEAD, WHOLE, LAST = 0, 1, 2
+
+
+class _Batch:
+    """Rows of _ROWS, given out in record batches of bounded size."""
+
+    def __init__(self):
+        self.rows, self.size = [], 0
+
+    def add(self, file, block, n, kind, header, seq, qual=None) -> Iterator[pa.RecordBatch]:
+        self.rows.append((file, block, n, kind, header, seq, qual))
+        self.size += len(seq)
+        if self.size > 1 << 24 or len(self.rows) >= 10_000:
+            yield self.take()
+
+    def take(self) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
+        columns = zip(*self.rows, strict=True) if self.rows else [()] * len(kinds)
+        out = pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["file", "block", "index", "kind", "header", "seq", "qual"])
+        self.rows, self.size = [], 0
+        return out
+
+
+def _parser(split: bool):
+    """From lines (file, block, value), in order, to rows of _ROWS; without split, every block is a whole file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now = _Batch(), None
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if now is None:
+                return
+            for n, *record in now.finish():
+                yield from out.add(now.name, now.start, n, WHOLE, *_text(record))
+            if now.lead:
+                yield from out.add(now.name, now.start, 0, LEAD, None, _text([b"\n".join(now.lead)])[0])
+            raw = now.raw() if split and now.header is not None else None
+            if (left := now.last()) is not None:
+                n, *record = left
+                yield from out.add(now.name, now.start, n, LAST, None, _text([raw])[0]) if split else out.add(now.name, now.start, n, WHOLE, *_text(record))
+
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                name, data = path.as_py(), content.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    data = gzip.decompress(data)
-                rows: list[list] = [[], [], [], []]
-                size = 0
-                for i, record in enumerate(records(data, name), 1):
-                    for column, value in zip(rows, (i, *record), strict=True):
-                        column.append(value)
-                    size += len(record[1])
-                    if size > 1 << 24:
-                        yield emit(name, rows)
-                        rows, size = [[], [], [], []], 0
-                if rows[0]:
-                    yield emit(name, rows)
-
-    def emit(name, rows):
-        return pa.record_batch([pa.array([name] * len(rows[0]), pa.string()), pa.array(rows[0], pa.int64()), *(pa.array(r, pa.string()) for r in rows[1:])], names=["file", "index", "header", "seq", "qual"])
+            for name, start, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if now is None or (now.name, now.start) != (name, start):
+                    yield from end()
+                    now = _Block(name, start)
+                for n, *record in now.feed(line):
+                    yield from out.add(name, start, n, WHOLE, *_text(record))
+        yield from end()
+        if out.rows:
+            yield out.take()
+
+    return run
+
+
+def _stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Last records of blocks, with what later blocks begin with, or are."""
+    for batch in batches:
+        out = _Batch()
+        for file, block, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for more, (header, seq, qual) in enumerate(records(raw.encode(), file)):  # more than one where a block is too short to tell
+                out.rows.append((file, block, n + more, WHOLE, header, seq, qual))
+        if out.rows:
+            yield out.take()
+
 
+def read_sequences(spark: SparkSession, *paths: str, recursive: bool = True) -> DataFrame:
+    """(file, index, header, seq, qual) of all records of files, and of all files under folders; index counts from 1 in each file.
+
+    Lines come from the text source, which unpacks .gz files as it goes and splits large plain ones. A task holds a record
+    and a batch of rows, so files may have any size. Where files are split, records that a split cuts are put together from
+    their lines, and records are numbered by a sum over the blocks before; the parsed rows are stored for that. Then FASTQ
+    must have its sequence on one line; FASTA may have any.
+    """
     ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(list(paths))
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    source = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    # Files that may be split: plain ones above the least size of a split.
+    least = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    split = not source.format("binaryFile").load(list(paths)).select("path", "length").where((F.col("length") > least) & ~F.lower("path").endswith(".gz")).isEmpty()
+    lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    if not split:
+        return lines.mapInArrow(_parser(False), _ROWS).select("file", "index", "header", "seq", "qual")
+    rows = stored(lines.mapInArrow(_parser(True), _ROWS), "records")
+    order = Window.partitionBy("file").orderBy("block", "kind")
+    cut = rows.where(f"kind <> {WHOLE}").withColumn("_g", F.sum((F.col("kind") == LAST).cast("int")).over(order))
+    cut = cut.groupBy("file", "_g").agg(F.sort_array(F.collect_list(F.struct("block", "kind", "index", "seq"))).alias("x"))  # one record
+    cut = cut.select("file", F.col("x")[0]["block"].alias("block"), F.col("x")[0]["index"].alias("index"), F.array_join(F.transform("x", lambda e: e["seq"]), "\n").alias("raw"))
+    whole = rows.where(f"kind = {WHOLE}").union(cut.mapInArrow(_stitched, _ROWS))
+    per = whole.groupBy("file", "block").agg(F.count("*").alias("n"))  # a row for each block
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(F.col("file").alias("_f"), F.col("block").alias("_b"), before.alias("_before"))
+    whole = whole.join(per, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    return whole.select("file", (F.col("_before") + F.col("index")).alias("index"), "header", "seq", "qual")
 
 
 def unpaired(sequences: DataFrame) -> DataFrame:

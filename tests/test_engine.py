@@ -377,6 +377,32 @@ def test_sequence_files(spark, tmp_path):
     assert [r["query_id"] for r in sequences.filter_reads(sequences.unpaired(df), 4, 5, 1).collect()] == [4]
 
 
+def test_sequence_files_in_blocks(spark, tmp_path):
+    """Files that are split anywhere, records over many blocks included, are read as if they were whole; a gzip file never is."""
+    rng = random.Random(8)
+    bases = lambda n: "".join(rng.choices("ACGTN", k=n))
+    signs = "".join(map(chr, range(33, 75)))  # with @, > and +
+    fasta = "".join(f">r{i} of many\n" + "".join(f"{bases(rng.randrange(1, 60))}\n" for _ in range(rng.choice([1, 2, 3, 40]))) for i in range(40))
+    fastq = ""
+    for i in range(60):
+        n = rng.randrange(1, 80)
+        fastq += f"@q{i}\n{bases(n)}\n+\n{''.join(rng.choices(signs, k=n))}\n"
+    (tmp_path / "a.fa").write_text(fasta)
+    (tmp_path / "b.fq").write_text(fastq.replace("\n", "\r\n"))
+    (tmp_path / "c.fq.gz").write_bytes(gzip.compress(fastq.encode()))
+    want = [(f, i, *r) for f, t in (("a.fa", fasta), ("b.fq", fastq), ("c.fq.gz", fastq)) for i, r in enumerate(sequences.records(t.encode()), 1)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("400b", "2500b"):
+            for k in before:
+                spark.conf.set(k, size)
+            got = sequences.read_sequences(spark, str(tmp_path)).collect()
+            assert sorted((r["file"].rpartition("/")[2], r["index"], r["header"], r["seq"], r["qual"]) for r in got) == sorted(want), size
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_taxonomy_files(spark, tmp_path):
     (tmp_path / "nodes.dmp").write_text("1\t|\t1\t|\tno rank\t|\n2\t|\t1\t|\tsuperkingdom\t|\n5\t|\t2\t|\tspecies\t|\n6\t|\t4\t|\tgenus\t|\n")
     (tmp_path / "names.dmp").write_text("2\t|\tBacteria\t|\t\t|\tscientific name\t|\n2\t|\tother\t|\t\t|\tsynonym\t|\n5\t|\t\t|\t\t|\tscientific name\t|\n")
