@@ -9,23 +9,22 @@ from .common import NOT_WORD, Store, let, lower_ascii, run_hashes, words
 
 #: Rows of a small side that are sent to every executor, of numbers only: some 50 MB as a hash table. More are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: A word before lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words before lower-casing.
+NOT_WORD_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
     return words(lower_ascii(text), NOT_WORD)
 
 
-def _tokens(w: Column, lengths: list[int]) -> Column:
-    """(pos, token) of all runs of each length in an array of words, pos from 0; token is a hash."""
-    none = F.array().cast("array<struct<pos:int,token:bigint>>")
-
-    def of(hashes: Column) -> Column:
-        place = lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("token"))
-        return F.concat(none, *[F.when(F.size(hashes) >= n, F.transform(run_hashes(hashes, n), place)).otherwise(none) for n in lengths])
-
-    return let(F.transform(w, lambda x: F.xxhash64(x)), of)
+def _tokens(rows: DataFrame, keep: list[str], words_col: Column, lengths: list[int]) -> DataFrame:
+    """keep, with (pos, token) of all runs of each length in an array of words, pos from 0; token is a hash. Nothing else is carried."""
+    none = F.array().cast("array<bigint>")
+    hashes = lambda n: let(F.transform(words_col, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) >= n, run_hashes(h, n)).otherwise(none))
+    if len(lengths) == 1:
+        return rows.select(*keep, F.posexplode(hashes(lengths[0])).alias("pos", "token"))
+    place = lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("token"))
+    return rows.select(*keep, F.explode(F.concat(*[F.transform(hashes(n), place) for n in lengths])).alias("x")).select(*keep, "x.pos", "x.token")
 
 
 def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -44,15 +43,14 @@ def _rarest(own: DataFrame, wins: DataFrame, store: Store, token_words: int, lim
     """
     lengths = sorted(r[0] for r in wins.select(F.least("m", F.lit(token_words))).distinct().collect())  # token_words numbers at most
     each = wins.select("wid", "m", F.least("m", F.lit(token_words)).alias("token_n"), "win")
-    parts = [each.where(F.col("token_n") == n).select("wid", "m", F.explode(_tokens(F.col("win"), [n])).alias("x")) for n in lengths]
-    if not parts:
+    if not lengths:
         return None, 0, []
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.union(more)
-    tokens = store.put(rows.select("wid", "m", "x.token", F.col("x.pos").alias("offset")), "tokens")
+    rows = _tokens(each.where(F.col("token_n") == lengths[0]), ["wid", "m"], F.col("win"), lengths[:1])
+    for n in lengths[1:]:
+        rows = rows.union(_tokens(each.where(F.col("token_n") == n), ["wid", "m"], F.col("win"), [n]))
+    tokens = store.put(rows.select("wid", "m", "token", F.col("pos").alias("offset")), "tokens")
     distinct = tokens.select(F.col("token").alias("_t")).distinct()
-    seen = own.select(F.explode(_tokens(_words(F.col("text")), lengths)).alias("x")).select("x.token")
+    seen = _tokens(own, [], _words(F.col("text")), lengths).select("token")
     if distinct.count() <= limit:
         counts = seen.join(F.broadcast(distinct), F.col("token") == F.col("_t")).groupBy("_t").agg(F.count("*").alias("rarity"))
     else:
@@ -63,30 +61,32 @@ def _rarest(own: DataFrame, wins: DataFrame, store: Store, token_words: int, lim
     return prefix, prefix.count(), lengths
 
 
-def _judged(own: DataFrame, items: DataFrame, window: int, token_words: int, item_col: str, item_text: str, limit: int) -> DataFrame:
-    """own (id, text, ...) with n_words, text_hash, spans (p, m) that hold a window, and item_ids of these."""
+def _verdicts(own: DataFrame, items: DataFrame, window: int, token_words: int, item_col: str, item_text: str, limit: int) -> tuple[DataFrame | None, int]:
+    """(_i, _h, hits) of each id and text hash of own (id, text, text_hash) in which windows occur; hits: (p, m, item_ids). And their number."""
     store = Store(own.sparkSession)
     wins = store.put(item_windows(items, window, item_col, item_text), "windows")
     prefix, n_prefixes, lengths = _rarest(own, wins, store, token_words, limit)
-    own = own.withColumns({"text_hash": F.xxhash64(F.coalesce("text", F.lit(""))), "n_words": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")})
-    span = "array<struct<p:int,m:int,win:array<string>,item_ids:array<string>>>"
     if not n_prefixes:
-        return own.withColumn("hits", F.array().cast(span))
+        return None, 0
     small = lambda df, n: F.broadcast(df) if n <= limit else df
-    at = own.select("id", "text_hash", "n_words", F.explode(_tokens(_words(F.col("text")), lengths)).alias("x")).select("id", "text_hash", "n_words", "x.pos", "x.token")
-    probe = small(prefix.select(F.col("token").alias("_t"), "offset", "m", "wid"), n_prefixes)
+    at = _tokens(own, ["id", "text_hash"], _words(F.col("text")), lengths)
+    probe = small(prefix.select(F.col("token").alias("_t"), "offset", "wid"), n_prefixes)
+    # Positional bound: the token's place fixes where the window starts.
     start = F.col("pos") - F.col("offset")
-    # Positional bound: the token's place fixes the window's start. Length bound: all of the window is in the document.
-    found = at.join(probe, F.col("token") == F.col("_t")).where((start >= 0) & (start + F.col("m") <= F.col("n_words")))
-    found = store.put(found.select("id", "text_hash", start.alias("p"), "wid"), "candidates")
-    full = found.distinct().join(wins.withColumnRenamed("wid", "_w"), F.col("wid") == F.col("_w"))
+    found = at.join(probe, F.col("token") == F.col("_t")).where(start >= 0)
+    found = store.put(found.select("id", "text_hash", start.alias("p"), "wid").distinct(), "candidates")
+    full = found.join(wins.withColumnRenamed("wid", "_w"), F.col("wid") == F.col("_w"))
     per = full.groupBy(F.col("id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.collect_list(F.struct("p", "m", "win", "item_ids")).alias("maybe"))
     per = store.put(per, "candidate-documents")
-    # A twentieth of the rows, as these have words: no more bytes than other broadcasts.
-    per = small(per, 20 * found.count())
-    rows = own.join(per, F.col("id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h")), "left")
-    held = let(_words(F.col("text")), lambda w: F.filter("maybe", lambda x: F.slice(w, x["p"] + 1, x["m"]) == x["win"]))
-    return rows.withColumn("hits", F.when(F.col("maybe").isNull(), F.array().cast(span)).otherwise(held)).drop("_i", "_h", "maybe")
+    # Texts of candidates only: by their keys first, which are small enough to send; then with their windows.
+    same = F.col("id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h"))
+    some = own.join(small(per.select("_i", "_h"), per.count()), same, "left_semi").join(per, same)
+    # Length bound: all of the window is in the document. Then its words.
+    inside = lambda w: F.filter("maybe", lambda x: (x["p"] + x["m"] <= F.size(w)) & (F.slice(w, x["p"] + 1, x["m"]) == x["win"]))
+    some = some.select("_i", "_h", let(_words(F.col("text")), inside).alias("hits")).where(F.size("hits") > 0)
+    hits = F.transform("hits", lambda x: F.struct(x["p"].alias("p"), x["m"].alias("m"), x["item_ids"].alias("item_ids")))
+    some = store.put(some.select("_i", "_h", hits.alias("hits")).dropDuplicates(["_i", "_h"]), "verdicts")
+    return some, some.count()
 
 
 def _n_hit(hits: Column) -> Column:
@@ -114,14 +114,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, token_wor
     Null and blank texts have no words; items without words have no windows. Rows of one doc_id and text get the same
     result, each its own row; null doc_ids are kept. Extra columns are ignored. An empty benchmark leaves all clean.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = _judged(own, items, window, token_words, item_col, item_text, broadcast_rows)
-    ids = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["item_ids"]))))
-    out = out.select("id", "n_words", _n_hit(F.col("hits")).alias("n_hit"), ids.alias("item_ids"), "text_hash")
+    hash_of = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), hash_of)
+    verdicts, _ = _verdicts(own, items, window, token_words, item_col, item_text, broadcast_rows)
+    out = own.select("id", "text_hash", F.size(words(F.col("text"), NOT_WORD_CASED)).cast("long").alias("n_words"))
+    none = F.array().cast("array<string>")
+    if verdicts is None:
+        out = out.withColumns({"n_hit": F.lit(0).cast("long"), "item_ids": none})
+    else:
+        ids = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["item_ids"]))))
+        found = verdicts.select("_i", "_h", _n_hit(F.col("hits")).alias("_n"), ids.alias("_ids"))
+        out = out.join(found, F.col("id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h")), "left")
+        out = out.withColumns({"n_hit": F.coalesce("_n", F.lit(0)).cast("long"), "item_ids": F.coalesce("_ids", none)})
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "text_hash")
 
 
-def decontaminate_documents(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+def decontaminate_documents(docs: DataFrame, items: DataFrame, window: int = 10, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs, with all their columns, in which no item window occurs."""
-    own = docs.select(F.col("doc_id").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return _judged(own, items, window, 5, "item_id", "text", BROADCAST_ROWS).where(F.size("hits") == 0).select("_row.*")
+    own = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    verdicts, n = _verdicts(own, items, window, 5, "item_id", "text", broadcast_rows)
+    if verdicts is None:
+        return docs
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    gone = verdicts.select("_i", "_h")
+    return rows.join(F.broadcast(gone) if n <= broadcast_rows else gone, F.col("id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h")), "left_anti").select("_row.*")
