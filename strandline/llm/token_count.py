@@ -22,10 +22,11 @@ class PieceCounts(dict):
 
     A pre-token is a word with the spaces before it, less one; or, after a line feed, the line feed and the word. That is
     exact if no merge can cross its edges, which holds if no vocabulary piece has a space mark after another character or a
-    line feed beside one, and the model leaves text as it is. `__init__` proves that, or raises.
+    line feed beside one, and the model leaves text as it is. `__init__` proves that, or raises; and which words alone are one
+    token, unless it is given them.
     """
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, proved: dict[str, int] | None = None):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -43,9 +44,10 @@ class PieceCounts(dict):
         ):
             raise ValueError("pre-tokens of this model can't be counted one by one")
         self.encode = sentencepiece.SentencePieceProcessor(model_proto=raw).encode
-        words = [p[1:] for p in pieces if p.startswith(SPACE_MARK) and p[1:] and SPACE_MARK not in p[1:]]
-        #: The proof, by encoding each vocabulary string on its own.
-        self.proved = {w: 1 for w, ids in zip(words, self.encode(words, num_threads=1), strict=True) if len(ids) == 1} | {"": 1}
+        if proved is None:  # the proof, by encoding each vocabulary string on its own
+            words = [p[1:] for p in pieces if p.startswith(SPACE_MARK) and p[1:] and SPACE_MARK not in p[1:]]
+            proved = {w: 1 for w, ids in zip(words, self.encode(words, num_threads=1), strict=True) if len(ids) == 1} | {"": 1}
+        self.proved = proved
         super().__init__(self.proved)
 
     def __missing__(self, key: str) -> int:
@@ -71,7 +73,7 @@ class PieceCounts(dict):
 class RankCounts(dict):
     """The same for byte-level BPE ranks: pre-tokens come from the library's pattern; one in the vocabulary is one token if its encoding proves it."""
 
-    def __init__(self, ranks_file: str, pattern: str):
+    def __init__(self, ranks_file: str, pattern: str, proved: dict[str, int] | None = None):
         import base64
 
         import regex
@@ -82,8 +84,8 @@ class RankCounts(dict):
         encoding = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.encode = lambda text, num_threads=1: encoding.encode_ordinary(text)
         self.split = regex.compile(pattern).findall
-        words = [w.decode() for w in ranks if w.decode(errors="ignore").encode() == w]
-        self.proved = {w: 1 for w in words if len(self.encode(w)) == 1}
+        words = [w.decode() for w in ranks if w.decode(errors="ignore").encode() == w] if proved is None else []
+        self.proved = {w: 1 for w in words if len(self.encode(w)) == 1} if proved is None else proved
         super().__init__(self.proved)
 
     def __missing__(self, key: str) -> int:
@@ -99,27 +101,30 @@ class RankCounts(dict):
         return sum(map(self.__getitem__, self.split(text)))
 
 
-def counts_of(name: str) -> PieceCounts | RankCounts:
-    """The counter of one of the installed public tokenizers, made once in each process."""
+def counts_of(name: str, proved: dict[str, int] | None = None) -> PieceCounts | RankCounts:
+    """The counter of one of the installed public tokenizers, made once in each process; with the words proved elsewhere, if given."""
     if name not in _loaded:
         import public_tokenizers
 
         path = public_tokenizers.path(name)
-        _loaded[name] = PieceCounts(path) if name.endswith(".model") else RankCounts(path, public_tokenizers.PATTERN)
+        _loaded[name] = PieceCounts(path, proved) if name.endswith(".model") else RankCounts(path, public_tokenizers.PATTERN, proved)
     return _loaded[name]
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs, with no shuffle.
 
+    Which vocabulary strings alone are one token is proved once, by the driver, and sent to the workers: a table of the
+    vocabulary's size. Words in it are counted by lookup; the rest are merged by the library, once each in a worker's memory.
     Null and empty texts have 0 bytes and tokens. Null ids and repeated rows stay. Texts of any length are read whole; memory
     is one Arrow batch and the memo. Extra columns are ignored.
     """
     ship(docs.sparkSession)
     schema = docs.select(F.col(id_col)).schema.simpleString()[7:-1]
+    proved = docs.sparkSession.sparkContext.broadcast(counts_of(tokenizer).proved)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counts_of(tokenizer).count
+        count = counts_of(tokenizer, proved.value).count
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = [count(t) for t in texts]

@@ -256,6 +256,12 @@ def test_token_counts_equal_library(docs):
     got = rows_of(token_count.token_counts(docs(rows)))
     want = sorted(((i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in rows), key=str)
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got), key=str) == want
+    long = [(1, "one two, three.\n" * 20_000), (1, "one two, three.\n" * 20_000), (2, "x" * 100_000)]
+    made = docs(long)
+    for name in ("n_bytes", "n_tokens", "over_limit", "batch"):
+        made = made.withColumn(name, made["lang"])
+    assert sorted((r["doc_id"], r["n_tokens"], r["over_limit"]) for r in rows_of(token_count.token_counts(made))) == [(i, len(sp.encode(t)), True) for i, t in long]
+    assert token_count.token_counts(docs([])).count() == 0
 
 
 def test_token_counts_of_ranks(docs):
@@ -487,6 +493,12 @@ def test_packing_round_trip(docs):
         assert (pos[:, 0] == 0).all() and len(m["ids"]) == m["n_rows"] * 256 and len(m["row_splits"]) == m["n_rows"] + 1
     assert packing.pack(docs([])).count() == 0
     assert packing.pack(docs(EDGE)).count() > 0
+    # Clashing names, repeated rows and nulls: each row is packed once, under its own id.
+    edge, made = [*EDGE, (7, "word " * 3_000)], docs([*EDGE, (7, "word " * 3_000)])
+    for name in ("doc_ids", "parts", "cu_seqlens", "n_tokens", "input_ids"):
+        made = made.withColumn(name, made["lang"])
+    got = Counter(d for r in rows_of(packing.pack(made, 128)) for d, p in zip(r["doc_ids"], r["parts"], strict=True) if p == 0)
+    assert got == Counter(i for i, _ in edge)
 
 
 def test_toxicity_held_out(spark, docs, clash):
@@ -510,6 +522,44 @@ def test_toxicity_held_out(spark, docs, clash):
     assert [r["predicted"] for r in sorted(rows_of(hidden), key=lambda r: r["doc_id"])] == [1, 1, 0, 0, 0]
 
 
+def test_toxicity_scores_brute_force(docs):
+    """Scores equal those of a plain scan of each place of the folded text for each entry: words whole, stems where letters follow, exceptions by phrase."""
+    import math
+
+    rng = random.Random(15)
+    entries = {"scum ": 3.0, "scum": 2.5, "idio": 4.0, "idiot ": 5.0, "moron ": 3.5, "dumb ": 2.7}
+    model = {"entries": entries, "exceptions": ["dumb waiter", "idiots guide"], "beta": [-4.0, 1.5, 2.0]}
+    pieces = ["scum", "scumbag", "5cum,", "IDIOT!", "1d10ts", "idiots guide", "dumb", "dumb waiter", "Dumb  waiter", "m0r0n.", "oxymoron", "cat_scum", "scum_", "сum", "fine", "words", "here", "é", "\n"]
+    texts = [None, "", " "] + [" ".join(rng.choices(pieces, k=rng.randrange(1, 30))) for _ in range(80)] + ["fine words " * 60_000 + "idiot"]
+
+    def plain(raw):
+        t, total = toxicity.fold(raw), 0.0
+        for i in range(len(t)):
+            if i and t[i - 1].isalnum():
+                continue
+            best = 0.0
+            for e, w in entries.items():
+                e = toxicity.fold(e)
+                if t.startswith(e.strip(), i):
+                    rest = t[i + len(e.strip()) :]
+                    follows = bool(re.match(r"\w", rest))
+                    if follows != e.endswith(" "):
+                        best = max(best, w)
+            if best:
+                own = re.compile(r"\w+").match(t, i)
+                after = re.compile(r"\w+").search(t, own.end(), own.end() + 60)
+                total += 0 if f"{own[0]} {after[0] if after else ''}" in {toxicity.fold(x) for x in model["exceptions"]} else best
+        n = raw.count(" ") + 1
+        return 1 / (1 + math.exp(-(-4.0 + 1.5 * math.log1p(total) + 2.0 * total / math.sqrt(n + 20))))
+
+    folded = model | {"entries": {toxicity.fold(e): w for e, w in entries.items()}, "exceptions": [toxicity.fold(x) for x in model["exceptions"]]}
+    got = {r["doc_id"]: r for r in rows_of(toxicity.score(docs(list(enumerate(texts[:-1]))), folded))}
+    for i, t in enumerate(texts[:-1]):
+        assert abs(got[i]["score"] - plain(t or "")) < 1e-9, t
+        assert got[i]["predicted"] == (got[i]["score"] >= 0.5)
+    assert rows_of(toxicity.score(docs([(1, texts[-1])]), folded))[0]["predicted"] == 0
+
+
 def test_toxicity_edges(spark, docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = rows_of(toxicity.toxicity(docs(EDGE), none))
