@@ -67,8 +67,31 @@ def np_splitmix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Hashes that options can name.
-HASHES = {"default32": np_hash32, "fmix32": np_fmix32, "fmix64": np_fmix64, "splitmix64": np_splitmix64, "identity": lambda x: x}
+def np_nvidia32(x: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of shifts and sums."""
+    low = np.uint64(0xFFFFFFFF)
+    u = lambda n: np.uint64(n)
+    x = x & low
+    x = (x + u(0x7ED55D16) + (x << u(12))) & low
+    x = (x ^ u(0xC761C23C) ^ (x >> u(19))) & low
+    x = (x + u(0x165667B1) + (x << u(5))) & low
+    x = ((x + u(0xD3A2646C)) ^ (x << u(9))) & low
+    x = (x + u(0xFD7046C5) + (x << u(3))) & low
+    return (x ^ u(0xB55A4F09) ^ (x >> u(16))) & low
+
+
+def np_half(x: np.ndarray) -> np.ndarray:
+    """64 bits to 32, by shifts and sums."""
+    u = lambda n: np.uint64(n)
+    x = ~x + (x << u(18))
+    x = (x ^ (x >> u(31))) * u(21)
+    x = x ^ (x >> u(11))
+    x = x + (x << u(6))
+    return (x ^ (x >> u(22))) & u(0xFFFFFFFF)
+
+
+#: Hashes that options can name. Their constants are fixed values, by their definitions.
+HASHES = {"default32": np_hash32, "fmix32": np_fmix32, "nvidia32": np_nvidia32, "fmix64": np_fmix64, "splitmix64": np_splitmix64, "halved64": np_half, "identity": lambda x: x}
 
 
 def canonical_kmers(seq: bytes | np.ndarray, k: int) -> np.ndarray:
@@ -106,45 +129,54 @@ def canonical_kmers(seq: bytes | np.ndarray, k: int) -> np.ndarray:
     return values
 
 
-def window_starts(length: int, window: int, stride: int) -> np.ndarray:
-    """Starts of windows: full ones every stride, then one shorter tail if it has any letter; a short text is one window."""
-    if length <= window:
-        return np.zeros(min(1, length), np.int64)
-    full = (length - window) // stride + 1
-    starts = np.arange(full + 1, dtype=np.int64) * stride
-    return starts if starts[-1] < length else starts[:-1]
-
-
-def sketches(seq: bytes, k: int, size: int, window: int, stride: int, hash_name: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(window numbers, features) of a text: the `size` least distinct hashes of each window's canonical k-mers.
+def sketches_of(texts: list[bytes], k: int, size: int, window: int, stride: int, hash_name: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the text, window number, feature) of texts: the `size` least distinct hashes of each window's canonical k-mers.
 
     Only windows of at least k letters are numbered. For k over 16 the hash is of 64 bits. The greatest value of the hash's
-    width is never a feature.
+    width is never a feature. Texts are laid end to end and worked on at once; no window reaches into the next text.
     """
     mix = HASHES[hash_name or ("default32" if k <= 16 else "fmix64")]
     none = NONE if k > 16 else np.uint64(0xFFFFFFFF)
-    raw = np.frombuffer(seq, np.uint8)
-    kmers = canonical_kmers(raw, k)
+    kmers = canonical_kmers(np.frombuffer(b"".join(texts), np.uint8), k)
+    empty = np.empty(0, np.int64)
     if not len(kmers):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return empty, empty, np.empty(0, np.uint64)
     bad = kmers == NONE
     hashed = mix(kmers)
     hashed[bad] = NONE
-    starts = window_starts(len(raw), window, stride)
-    starts = starts[np.minimum(starts + window, len(raw)) - starts >= k]
-    wins, features = [], []
-    per = window - k + 1
-    for at in range(0, len(starts), 16384):  # bounds memory for long texts
-        s = starts[at : at + 16384]
-        index = s[:, None] + np.arange(per)
-        ends = np.minimum(s + window, len(raw)) - k + 1
-        block = np.where(index < ends[:, None], hashed[np.minimum(index, len(hashed) - 1)], NONE)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lengths)
+    # Full windows every stride, then one shorter tail if it has any letter; a short text is one window.
+    full = np.where(lengths > window, (lengths - window) // stride + 1, 0)
+    count = np.where(lengths > window, full + (full * stride < lengths), lengths > 0)
+    text = np.repeat(np.arange(len(texts)), count)
+    win = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    start = (ends - lengths)[text] + win * stride
+    end = np.minimum(start + window, ends[text]) - k + 1
+    whole = end > start
+    text, win, start, end = text[whole], win[whole], start[whole], end[whole]
+    out: list[list[np.ndarray]] = [[empty], [empty], [np.empty(0, np.uint64)]]
+    steps = np.arange(window - k + 1)
+    for at in range(0, len(start), 16384):  # bounds memory for long texts
+        s, e = start[at : at + 16384], end[at : at + 16384]
+        index = s[:, None] + steps
+        block = np.where(index < e[:, None], hashed[np.minimum(index, len(hashed) - 1)], NONE)
         block.sort(axis=1)
         fresh = np.ones(block.shape, bool)
         fresh[:, 1:] = block[:, 1:] != block[:, :-1]
         fresh &= block < none
         fresh &= np.cumsum(fresh, axis=1) <= size
         rows, _ = np.nonzero(fresh)
-        wins.append(rows + at)
-        features.append(block[fresh])
-    return np.concatenate(wins), np.concatenate(features)
+        for column, value in zip(out, (text[rows + at], win[rows + at], block[fresh]), strict=True):
+            column.append(value)
+    return tuple(np.concatenate(x) for x in out)
+
+
+def sketches(seq: bytes, k: int, size: int, window: int, stride: int, hash_name: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(window numbers, features) of one text."""
+    return sketches_of([seq], k, size, window, stride, hash_name)[1:]
+
+
+def query_windows(length: Column, k: int, stride: int) -> Column:
+    """About how many windows a read has, one at least: its weight where reads are dealt out by size."""
+    return F.greatest(F.lit(1), F.floor((length - k + stride) / stride))

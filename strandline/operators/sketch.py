@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import sketches
+from ..functions.dna import sketches_of
 from ..options import SketchOptions
 from ..shipping import ship
 
+#: Letters that are sketched at once, and as much of a longer text as it has.
+LETTERS = 1_000_000
+
 
 def windows(seqs: DataFrame, owner: str, seq: str, options: SketchOptions) -> DataFrame:
     """(owner, win, begin, window): the windows of each sequence that have at least k letters, as text."""
@@ -47,23 +50,23 @@ def sketch(seqs: DataFrame, owner: str, seq: str | Column, options: SketchOption
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, wins, features, held = [], [], [], 0
+            places, texts, letters = [], [], 0
             for i, text in enumerate(batch.column(1)):
                 if (raw := text.as_py()) is None or len(raw) < o.k:
                     continue
-                win, f = sketches(raw.encode("ascii", "replace"), o.k, o.size, o.window, o.step, o.hash_name)
-                index.append(np.full(len(f), i))
-                wins.append(win)
-                features.append(f.view(np.int64))
-                held += len(f)
-                if held > 500_000:
-                    yield emit(batch, index, wins, features)
-                    index, wins, features, held = [], [], [], 0
-            if held:
-                yield emit(batch, index, wins, features)
-
-    def emit(batch, index, wins, features):
-        return pa.record_batch([batch.column(0).take(pa.array(np.concatenate(index))), pa.array(np.concatenate(wins)), pa.array(np.concatenate(features))], names=["owner", "win", "feature"])
+                places.append(i)
+                texts.append(raw.encode("ascii", "replace"))
+                letters += len(raw)
+                if letters > LETTERS:
+                    yield emit(batch, places, texts)
+                    places, texts, letters = [], [], 0
+            if texts:
+                yield emit(batch, places, texts)
+
+    def emit(batch, places, texts):
+        at, wins, features = sketches_of(texts, o.k, o.size, o.window, o.step, o.hash_name)
+        owners = batch.column(0).take(pa.array(np.array(places, np.int64)[at]))
+        return pa.record_batch([owners, pa.array(wins), pa.array(features.view(np.int64))], names=["owner", "win", "feature"])
 
     return spread(seqs.select(owner, column.alias("_seq"))).mapInArrow(run, f"owner {kind}, win bigint, feature bigint")
 

@@ -70,6 +70,40 @@ def test_sketches(k, size, window, stride):
         assert len(win) == len(set(zip(win.tolist(), f.tolist(), strict=True)))
 
 
+def test_sketches_of_many_texts_are_those_of_each():
+    rng = random.Random(31)
+    texts = ["".join(rng.choices("ACGTN", [9, 9, 9, 9, 1], k=rng.choice([0, 3, 15, 16, 17, 126, 127, 128, 239, 240, 900]))).encode() for _ in range(200)]
+    for k, size, window, stride in ((16, 16, 127, 112), (20, 5, 60, 80), (16, 4, 50, 7)):
+        at, wins, features = dna.sketches_of(texts, k, size, window, stride)
+        got = defaultdict(list)
+        for i, w, f in zip(at.tolist(), wins.tolist(), features.tolist(), strict=True):
+            got[i].append((w, f))
+        for i, t in enumerate(texts):
+            assert got[i] == list(zip(*(x.tolist() for x in dna.sketches(t, k, size, window, stride)), strict=True))
+    assert [len(x) for x in dna.sketches_of([], 16, 16, 127, 112)] == [0, 0, 0]
+
+
+def test_other_hashes():
+    """Each against its definition in whole numbers."""
+    x = np.array([0, 1, 12345, 2**31, 2**32 - 1], np.uint64)
+
+    def jenkins(v):
+        for plus, c, op, s, right in ((1, 0x7ED55D16, "+", 12, 0), (0, 0xC761C23C, "^", 19, 1), (1, 0x165667B1, "+", 5, 0), (1, 0xD3A2646C, "^", 9, 0), (1, 0xFD7046C5, "+", 3, 0), (0, 0xB55A4F09, "^", 16, 1)):
+            a, b = (v + c if plus else v ^ c), (v >> s if right else v << s)
+            v = (a + b if op == "+" else a ^ b) % 2**32
+        return v
+
+    def halved(v):
+        v = (~v + (v << 18)) % 2**64
+        v = (v ^ v >> 31) * 21 % 2**64
+        v ^= v >> 11
+        v = (v + (v << 6)) % 2**64
+        return (v ^ v >> 22) % 2**32
+
+    assert dna.HASHES["nvidia32"](x).tolist() == [jenkins(int(v)) for v in x]
+    assert dna.HASHES["halved64"](x).tolist() == [halved(int(v)) for v in x]
+
+
 def test_sketch_of_ambiguous_only():
     assert len(dna.sketches(b"N" * 300, 16, 16, 127, 112)[0]) == 0
     win, _ = dna.sketches(b"N" * 112 + b"ACGT" * 40, 16, 16, 127, 112)
