@@ -371,6 +371,22 @@ def test_quality_each_statistic_rejects(docs, kind):
     assert not got[1000] and got[1001] and sum(got[i] for i in range(120)) >= 118
 
 
+def test_quality_ties_and_long_texts(docs):
+    """Equal rows, which are equally far, are kept or rejected together; a very long ordinary text is ordinary."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice([2, 3, 4, 5, 6, 9])))
+    prose = lambda n: "\n".join(" ".join(word() for _ in range(12)) for _ in range(n))
+    few = [prose(10) for _ in range(4)]
+    rows = [(i, few[i % 4]) for i in range(80)] + [(100 + i, prose(10) + " #" * 20) for i in range(3)] + [(200, prose(5_000))] + [(7, few[3])] * 3
+    got = rows_of(quality.quality(docs(rows)))
+    assert len(got) == len(rows)
+    by = defaultdict(set)
+    for r in got:
+        by[dict(rows)[r["doc_id"]]].add(r["kept"])
+    assert all(by[t] == {True} for t in few) and by[dict(rows)[200]] == {True}
+    assert not any(r["kept"] for r in got if 100 <= r["doc_id"] < 103)
+
+
 def test_quality_without_groups(docs):
     """Null languages and sources are groups; too few rows for an estimate leave the base rules; equal rows have no spread."""
     words = [f"word{i}" for i in range(60)]
@@ -440,6 +456,20 @@ def test_mixing(docs, clash):
     assert mixing.mix(docs([])).count() == 0
 
 
+def test_mixing_hot_source_and_equal_rows(docs):
+    """A source with most rows, repeated rows with equal places in the order, and a very long text: targets are met, and what repeats takes is bounded by its size."""
+    rng = random.Random(4)
+    rows = [(i, text(rng, rng.randrange(5, 60)), "en", "hot" if i % 3 else rng.choice("abc")) for i in range(600)]
+    rows += [(5000, "the same text here", "en", "a")] * 40 + [(6000, text(rng, 30_000), "en", "b")]
+    got = rows_of(mixing.mix(docs(rows)))
+    assert len(got) == len(rows) and sum(r["doc_id"] == 5000 for r in got) == 40
+    per = defaultdict(lambda: [0.0, 0])
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        per[r["source"]] = [r["target"], per[r["source"]][1] + r["taken"]]
+    assert all(abs(taken - target) <= 200 for target, taken in per.values()), dict(per)
+
+
 def test_mix_documents(docs, clash):
     rows = [(1, "a b c d " * 20, "en", "x"), (1, "a b c d " * 20, "en", "x"), (2, "b " * 30, "en", "y"), (3, None, "en", "y"), (None, "c " * 10, None, None)]
     made = clash(docs(rows))
